@@ -8,9 +8,10 @@ are searched up to a limit in inverse proportion to the total weight, which is r
 empty, so work follows the number of elements, not that of coordinates times elements.
 
 Texts are linked if a band (some successive coordinates) is equal and at least ``threshold`` of all coordinates are. In
-each band's bucket every member is compared with one member, chosen by a hash that differs between bands; those too far
-from it form a bucket of their own, with another centre, until none is left. So no bucket gives all pairs, and none is
-capped. Texts of equal signatures are one node throughout. Classes are the connected components.
+each band's bucket every member is compared with one member, chosen by a hash that differs between bands. Those too far
+from it stay together only as far as another band of theirs is equal too, in buckets of their own with other centres,
+and so on until each is alone: similar texts keep meeting, others part after a round or two. So no bucket gives all
+pairs, and none is capped. Texts of equal signatures are one node throughout. Classes are the connected components.
 
 Cases: texts without a word (null, empty, marks alone) have no signature; each is a class of its own with 0 links, as are
 texts of a single word unless that is equal. Ties between documents go to the smaller doc_id (null first), then to the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.buffers import M1, M2, M3, mix, padded, runs_of, slice_hash, text_bytes, words64
 from siftwell.session import cut, ship, stored
 
-COORDINATES, ROWS, THRESHOLD = 128, 4, 0.55
+COORDINATES, ROWS, THRESHOLD = 125, 5, 0.55
 CHUNK, TEXTS = 3_000_000, 1 << 16  # of bytes and texts at once
 S16, S48 = np.uint64(16), np.uint64(48)
 
@@ -191,25 +192,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, t: int, threshold: float) -> DataFrame:
     """Edges (a, b) between nodes (node, sig, bands) whose agreement with a bucket's centre is enough."""
-    spark = nodes.sparkSession
     share = agreement(t)
     sig = nodes.select("node", "sig")
-    member = nodes.select("node", F.explode("bands").alias("band"))
-    found: DataFrame | None = None
+    member = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
+    found, turn = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), 0
     while True:
         # the member of least hash, which differs between bands, is a bucket's centre
         centre = member.groupBy("band").agg(F.min_by("node", F.struct(F.xxhash64("node", "band"), F.col("node"))).alias("centre"), F.count("*").alias("size")).filter("size > 1")
         spokes = cut(member.join(centre.select("band", "centre"), "band").filter("node <> centre"))
-        if spokes.isEmpty():
-            break
         pairs = spokes.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         pairs = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
         judged = cut(pairs.select("a", "b", (share("sa", "sb") >= threshold).alias("near")))
-        near = judged.filter("near").select("a", "b")
-        found = near if found is None else cut(found.union(near).distinct())
+        found, turn = found.union(judged.filter("near").select("a", "b")), turn + 1
         far = judged.filter("not near").select("a", "b")
-        member = spokes.select("node", "band", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(far, ["a", "b"]).select("node", "band")
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+        if far.isEmpty():
+            return found.distinct()
+        left = spokes.select("node", "nth", "band", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(far, ["a", "b"]).select("node", "nth", "band")
+        other = F.get("bands", (F.col("nth") + turn) % F.size("bands"))
+        member = left.join(nodes.select("node", "bands"), "node").select("node", "nth", F.xxhash64("band", other).alias("band"))
 
 
 def classes(docs: DataFrame, t: int = COORDINATES, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
