@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.buffers import M1, M2, M3, mix, padded, ragged, runs_of, slice_hash, sums, text_bytes, words64
 from siftwell.session import ship, shuffle_partitions, size_in_bytes
 
-K, BUCKET_BYTES, CHUNK = 20, 6_000_000, 1_000_000
+K, BUCKET_BYTES, CHUNK = 20, 2_000_000, 1_000_000
 NEVER = np.iinfo(np.int64).max
 LOW48, LOW20 = np.uint64((1 << 48) - 1), np.uint64((1 << 20) - 1)
 
@@ -249,7 +249,7 @@ def marked(docs: DataFrame, output, schema: str, width: int = 50) -> DataFrame:
         raise ValueError(f"width must be at least {K + 8}")
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(shuffle_partitions(spark), -(-size_in_bytes(docs) // BUCKET_BYTES))
+    buckets = max(2 * shuffle_partitions(spark), -(-size_in_bytes(docs) // BUCKET_BYTES))
     parts = buckets
     texts = docs.withColumn("th", F.xxhash64("text")).withColumn("b", F.pmod(F.xxhash64(F.col("th"), F.col("doc_id")), F.lit(buckets)).cast("int"))
 
@@ -284,7 +284,7 @@ def marked(docs: DataFrame, output, schema: str, width: int = 50) -> DataFrame:
 
         def piece(lo: int, hi: int) -> bytes:
             body = own.data[ragged(own.start[runs[lo:hi]], length[lo:hi])]
-            return (hi - lo).to_bytes(4, "little") + own.hash[runs[lo:hi]].tobytes() + low[lo:hi].tobytes() + length[lo:hi].astype(np.uint16).tobytes() + body.tobytes()
+            return (hi - lo).to_bytes(4, "little") + own.hash[runs[lo:hi]].tobytes() + low[lo:hi].tobytes() + length[lo:hi].astype(np.uint16).tobytes() + len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
         return _rows(_by_bucket(table), list(_blobs(part, piece)))
 
@@ -296,7 +296,8 @@ def marked(docs: DataFrame, output, schema: str, width: int = 50) -> DataFrame:
             minimizers.append(np.frombuffer(x, np.uint64, k, 4))
             lows.append(np.frombuffer(x, np.int64, k, 4 + 8 * k))
             lengths.append(np.frombuffer(x, np.uint16, k, 4 + 16 * k).astype(np.int64))
-            bodies.append(np.frombuffer(x, np.uint8, -1, 4 + 18 * k))
+            size = int.from_bytes(x[4 + 18 * k : 12 + 18 * k], "little")
+            bodies.append(np.frombuffer(pa.decompress(x[12 + 18 * k :], size, "zstd", asbytes=True), np.uint8))
         length = np.concatenate(lengths)
         low, bounds = smallest(np.concatenate(minimizers), np.concatenate(bodies), np.concatenate(([0], np.cumsum(length))), np.concatenate(lows), width)
         # one value where all strings of a stretch agree
