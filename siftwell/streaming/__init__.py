@@ -1 +1,35 @@
+"""An extension beyond the batch operators: a file stream of manifests applied to stored tables by foreachBatch."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siftwell.operators.maintenance import upsert
+
+
+def follow(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, key: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
+    """Apply Parquet files that arrive in ``folder`` to the versions in ``target``: rows of a key that came last win.
+
+    Each micro-batch writes a new version named by its number, so a batch that is run again after a failure replaces
+    its own version and nothing is applied twice. Returns the query; the live version is the one of greatest number.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        new = prepare(batch).dropDuplicates(key)
+        old = current(spark, target, number)
+        (new if old is None else upsert(old, new, key)).write.mode("overwrite").parquet(f"{target}/batch={number:020d}")
+
+    return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = sorted(n for n in names if n.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")) and (before is None or int(n[6:]) < before))
+    return spark.read.parquet(f"{target}/{done[-1]}") if done else None
