@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import attribution, dartminhash, langid, lpf, packing
+from siftwell.llm import attribution, dartminhash, langid, linefreq, lpf, packing, permindex, replytree, topk, unigram
 from siftwell.session import table
 
 
@@ -17,6 +17,12 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -25,21 +31,98 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = replytree.digests(replytree.formatted(replytree.chain(turns, "conv_id", "turn"), best=1))
+    return read.select(F.col("tree.conv_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op3_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op4_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoded(table(spark, sf_dir, "documents"), pieces_path())
+
+
 def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linefreq.stripped(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "source")
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
+
+
 def op7_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op8_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10)
+
+
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permindex.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_parsing, op3_section_tokens, op5_related_packing, op7_longest_previous_factor, op10_dart_minhash)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_cross_parsing, op2_reply_trees, op3_section_tokens, op4_unigram_pieces, op5_related_packing, op6_site_lines, op7_longest_previous_factor, op8_norm_sorted_topk, op9_permutation_index, op10_dart_minhash)
+}
+
+CONVERSATIONS = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, 6 + 9 + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '#', '\h'))
+        + length(replace(replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c'), chr(10), '\n')) AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, md5(text)), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+LINES = f"""
+WITH lines AS (
+    SELECT doc_id, source, l.line AS line, l.nth AS nth, trim(l.line, E' \\t\\r\\v\\f') AS core
+    FROM (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents WHERE text IS NOT NULL) d,
+        LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth) l
+), totals AS (
+    SELECT source, count(*) AS pages FROM documents WHERE text IS NOT NULL GROUP BY source
+), common AS (
+    SELECT l.source, l.core FROM (SELECT DISTINCT doc_id, source, core FROM lines WHERE core <> '') l JOIN totals t ON l.source = t.source
+    GROUP BY l.source, l.core, t.pages HAVING t.pages >= {linefreq.LEAST_PAGES} AND count(*) > CAST({linefreq.RATIO} AS DOUBLE) * t.pages
+), judged AS (
+    SELECT l.*, c.core IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.source = c.source AND l.core = c.core
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '') AS kept_text
+FROM judged GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
+
+PRODUCTS = f"""
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({topk.SCALE} * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+SQL: dict[str, str] = {"op2_reply_trees": CONVERSATIONS, "op6_site_lines": LINES, "op8_norm_sorted_topk": PRODUCTS}

@@ -62,7 +62,7 @@ def paths(messages: DataFrame, best: int = 4) -> DataFrame:
     m = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = m.select("tree", F.col("id").alias("parent"), F.lit(True).alias("known"))
     # reach: the ancestor that many messages up; n and total: of the messages from here to below it
-    reach = cut(m.join(known, ["tree", "parent"], "left").select("tree", "id", F.when("known", F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")))
+    reach = cut(m.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")))
     parents = reach.filter("up is not null").select("tree", F.col("up").alias("id")).distinct()
     levels, size = [], reach.count()
     while not (live := reach.filter("up is not null").select("tree", "id", "up")).isEmpty() and 1 << len(levels) <= size:

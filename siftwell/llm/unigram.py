@@ -44,7 +44,7 @@ class DoubleArray:
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         used = bytearray(size)
         used[0] = 1
-        low, near, todo = 1, 1, [(0, root)]  # the first free place; where several letters were last placed
+        low, near, todo = 257, 257, [(0, root)]  # the first free place; where several letters were last placed
         while todo:
             state, node = todo.pop()
             value[state] = node.get(-1, -1)
@@ -53,7 +53,7 @@ class DoubleArray:
                 continue
             while used[low]:
                 low += 1
-            b = max(1, (low if len(letters) == 1 else near) - letters[0])
+            b = (low if len(letters) == 1 else max(low, near)) - letters[0]
             while True:
                 if b + 256 >= size:
                     grow = size
@@ -101,6 +101,7 @@ class Unigram:
         if np.array_equal(scores, np.round(scores)) and len(scores) > 2:  # merge ranks
             rank = scores.max() - scores + 1
             scores = -np.log(rank) - np.log((1 / rank).sum())
+        scores = np.round(scores * 2.0**20) / 2.0**20  # sums are exact, so equal ones tie however they are added
         self.scores, self.ids = scores, np.array(ids, np.int32)
         self.unknown = float(scores.min()) - UNKNOWN_PENALTY
         self.trie = DoubleArray(keys)
