@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from siftwell.llm.topk import matrix, usable
 from siftwell.session import ship
 
-PIVOTS, PREFIX, RERANK, LEAST, ROW_BLOCK, QUERY_BLOCK = 256, 32, 0.08, 400, 16_384, 1024
+PIVOTS, PREFIX, RERANK, LEAST, ROW_BLOCK, QUERY_BLOCK = 512, 64, 0.06, 400, 16_384, 1024
 
 
 def nearest_pivots(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra: np.ndarray, prefix: int) -> np.ndarray:
     """The ``prefix`` nearest pivots of each vector, nearest first, ties to the smaller number."""
     d = ((pivots**2).sum(axis=1) + pivot_extra**2)[None, :] - 2 * (x @ pivots.T + np.outer(extra, pivot_extra))
+    if prefix < d.shape[1]:  # of equal distances at the end of the prefix, any may stay; its order is total again
+        near = np.sort(np.argpartition(d, prefix - 1, axis=1)[:, :prefix], axis=1)
+        return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
     return np.argsort(d, axis=1, kind="stable")[:, :prefix]
 
 
@@ -40,8 +43,8 @@ class InvertedFiles:
         self.n, self.prefix = order.shape
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
-        self.row = (by // self.prefix).astype(np.int64)
-        self.near = (self.prefix - by % self.prefix).astype(np.int64)
+        self.row = by // self.prefix
+        self.near = (self.prefix - by % self.prefix).astype(np.float64)
         self.bounds = np.searchsorted(flat[by], np.arange(pivots + 1))
 
     def overlap(self, query: np.ndarray) -> np.ndarray:
