@@ -18,7 +18,7 @@ def main(args: list[str]) -> int:
     s.add_argument("path")
     s.add_argument("query")
     s.add_argument("--mode", default="auto")
-    s.add_argument("--top-k", type=int, default=5)
+    s.add_argument("-k", "--top-k", default=5, type=int)
     s.add_argument("--under")
     a = p.parse_args(args)
     from pyspark.sql import SparkSession
@@ -28,7 +28,7 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("siftwell").getOrCreate()
     engine = Engine(spark, a.data_dir)
     try:
-        out = engine.index(a.path) if a.verb == "index" else engine.status(a.path) if a.verb == "status" else dataclasses.asdict(engine.search(a.path, a.query, a.mode, a.top_k, a.under))
+        out = engine.index(a.path) if a.verb == "index" else engine.status(a.path) if a.verb == "status" else dataclasses.asdict(engine.search(a.path, a.query, a.top_k, a.mode, a.under))
     except (OSError, ValueError) as error:
         print(json.dumps({"error": str(error)}), file=sys.stderr)
         return 2

@@ -78,7 +78,9 @@ class Engine:
         facts = facts.join(source, ["path", "source_reference"]).withColumn("module", T.module_name(c("path")))
         facts = facts.select(ident(lit("graph-fact"), c("path"), c("start_line"), c("end_line"), c("kind"), c("source_reference"), c("target_reference"), c("ordinal")).alias("id"), "path", "ordinal", "kind", "source_node", "target_reference", "source_scope", "module", "start_line", "end_line", "confidence", "target_kind", "hint", "hint_method", "evidence")
         rows = good.select("path", T.ascii_lower(c("path")).alias("path_lc"), "modified_time_ns", "size_bytes", "content_hash", "language", "source_text", "line_count")
-        tables = {"files": rows, "symbols": symbols, "chunks": chunks, "graph_nodes": nodes, "graph_facts": facts}
+        symbols, chunks = stored(symbols), stored(chunks)
+        postings, sizes = P.build(self.documents(symbols, chunks), "document", list(FIELD_WEIGHTS), ("path",))
+        tables = {"files": rows, "symbols": symbols, "chunks": chunks, "graph_nodes": nodes, "graph_facts": facts, "postings": postings, "document_sizes": sizes}
         bad = failed.select("path").distinct()
         return {n: df.join(bad, "path", "left_anti") for n, df in tables.items()}, failed
 
@@ -128,6 +130,8 @@ class Engine:
         new["embeddings"] = vectors.select(F.col("id").alias("chunk_id"), "path", "content_hash", "vector")
         tables = {n: stored(M.apply_updates(old[n].select(*new[n].columns), new[n], done)) for n in S.TABLES}
         self.progress("graph")
+        # terms lie together, so that a query's filter skips most of the files
+        tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term", "document")
         tables["graph_status"], tables["graph_edges"] = self.resolved(tables["graph_nodes"], tables["graph_facts"])
         self.check()
         self.progress("promote")
@@ -155,20 +159,18 @@ class Engine:
 
     # --- search
 
-    def documents(self, snaps: M.Snapshots, path: str | None) -> DataFrame:
+    def documents(self, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
         """Symbols and chunks as documents with an identity: the symbol, or the file."""
         c, lit = F.col, F.lit
-        s = snaps.read("symbols").select(F.concat(lit("symbol:"), "id").alias("document"), F.concat(lit("symbol:"), "id").alias("identity"), c("id").alias("symbol_id"), lit(None).cast("string").alias("unit"), "path", "name", "qualified_name", "start_line", "end_line", c("source_snippet").alias("content"))
-        owner = snaps.read("symbols").select(c("id").alias("symbol_id"), "name", "qualified_name")
-        k = snaps.read("chunks").join(owner, "symbol_id", "left").select(F.concat(lit("chunk:"), "id").alias("document"), F.when(c("symbol_id").isNotNull(), F.concat(lit("symbol:"), "symbol_id")).otherwise(F.concat(lit("file:"), "path")).alias("identity"), "symbol_id", c("kind").alias("unit"), "path", "name", "qualified_name", c("start_line").cast("int").alias("start_line"), c("end_line").cast("int").alias("end_line"), c("text").alias("content"))
-        docs = s.unionByName(k)
-        return docs.withColumn("identifier_terms", F.array_join(T.identifier_terms(F.coalesce("name", lit("")), F.coalesce("qualified_name", lit("")), c("path")), " ")).filter(T.under_path(c("path"), path))
+        s = symbols.select(F.concat(lit("symbol:"), "id").alias("document"), F.concat(lit("symbol:"), "id").alias("identity"), c("id").alias("symbol_id"), lit(None).cast("string").alias("unit"), "path", "name", "qualified_name", "start_line", "end_line", c("source_snippet").alias("content"))
+        owner = symbols.select(c("id").alias("symbol_id"), "name", "qualified_name")
+        k = chunks.join(owner, "symbol_id", "left").select(F.concat(lit("chunk:"), "id").alias("document"), F.when(c("symbol_id").isNotNull(), F.concat(lit("symbol:"), "symbol_id")).otherwise(F.concat(lit("file:"), "path")).alias("identity"), "symbol_id", c("kind").alias("unit"), "path", "name", "qualified_name", c("start_line").cast("int").alias("start_line"), c("end_line").cast("int").alias("end_line"), c("text").alias("content"))
+        return s.unionByName(k).withColumn("identifier_terms", F.array_join(T.identifier_terms(F.coalesce("name", lit("")), F.coalesce("qualified_name", lit("")), c("path")), " "))
 
     def lexical(self, snaps: M.Snapshots, query: str, path: str | None, limit: int) -> tuple[DataFrame, list[str]]:
         q, warnings = query.strip(), []
-        everything = self.documents(snaps, None)
-        docs = self.documents(snaps, path)
         c = F.col
+        docs = self.documents(snaps.read("symbols"), snaps.read("chunks")).filter(T.under_path(c("path"), path))
         words = set(T.query_terms(q))
         allowed = c("symbol_id").isNotNull() & c("unit").isNull() | R.wanted_kind(words, c("unit"))
         spot = ["path", "start_line", "end_line", "document"]
@@ -185,9 +187,10 @@ class Engine:
             p = T.path_query(q)
             add(docs.filter(T.path_prefix(c("path"), p)), "path", [F.when(c("path") == p, 0).otherwise(1), F.length("path"), *spot])
         terms = T.folded_query(q)
-        for channel, searched in (("identifier", ["identifier_terms"]), ("bm25", ["name", "qualified_name", "identifier_terms", "content", *(["path"] if T.is_path_like(q) else [])])):
+        for channel, searched in (("identifier", ["identifier_terms"]), ("bm25", ["content", "identifier_terms", "qualified_name", "name", *(["path"] if T.is_path_like(q) else [])])):
             if terms:  # statistics are the whole index's, the path filter comes after
-                scores = P.bm25(everything, "document", FIELD_WEIGHTS, terms, searched)
+                weights = {f: FIELD_WEIGHTS[f] for f in searched}
+                scores = P.bm25_indexed(snaps.read("postings").drop("path"), snaps.read("document_sizes").drop("path"), "document", weights, terms)
                 add(docs.join(scores, "document"), channel, [F.desc("bm25"), *spot])
         try:
             near = R.fuzzy(symbols.withColumn("id", c("document")), q, R.LIMITS["fuzzy_symbol"], self.settings.fuzzy_threshold, self.settings.most_fuzzy_candidates)
@@ -217,7 +220,7 @@ class Engine:
         semantic = R.numbered(semantic, [F.desc("relevance"), F.desc("similarity"), "source_rank"], n, "rank").select(F.lit("semantic").alias("retriever"), "rank", "path", F.col("identity").alias("id"), F.col("relevance").alias("score"))
         return lexical.unionByName(semantic), warnings
 
-    def search(self, root: str, query: str, mode: str = "auto", top_k: int = 5, path: str | None = None, max_snippet_chars: int | None = None) -> Response:
+    def search(self, root: str, query: str, top_k: int = 5, mode: str = "auto", path: str | None = None, max_snippet_chars: int | None = None) -> Response:
         began = time.time()
         if mode not in MODES or not 1 <= top_k <= 20 or not query.strip() or len(query) > 2000:
             raise ValueError("a mode of " + ", ".join(MODES) + "; top_k from 1 to 20; a query of 1 to 2,000 characters")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: What str.splitlines splits at.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-PATH_LIKE = r"[/\\]|(?:^|\s)\S+\.[A-Za-z0-9]{1,12}(?:$|\s)"
-IDENTIFIER_LIKE = r"^[A-Za-z_][A-Za-z0-9_.\-]*$"
 _FOLDED = {
     "a": "àáâãäåāăą", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň",
     "o": "òóôõöōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
@@ -31,8 +29,8 @@ def tokens(c: Column) -> Column:
 
 
 def camel_split(c: Column) -> Column:
-    c = F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.regexp_replace(c, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    c = F.regexp_replace(c, r"([0-9a-z])([A-Z])", "$1 $2")
+    return F.regexp_replace(c, r"([A-Z]{1,})([A-Z][a-z])", "$1 $2")
 
 
 def normalize_identifier(c: Column) -> Column:
@@ -44,7 +42,7 @@ def identifier_terms(*columns: Column) -> Column:
 
     def one(c: Column) -> Column:
         fragments = F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda x: x != "")
-        parts = F.flatten(F.transform(fragments, lambda x: F.concat(F.array(x), F.regexp_extract_all(x, F.lit(r"[A-Z]+(?=[A-Z][a-z]|[0-9]|$)|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)))))
+        parts = F.flatten(F.transform(fragments, lambda x: F.concat(F.array(x), F.regexp_extract_all(x, F.lit(r"[0-9]+|[A-Z]+(?=[0-9]|$|[A-Z][a-z])|[A-Z]{0,1}[a-z]+|[A-Z]+"), F.lit(0)))))
         return F.concat(F.array(c), parts)
 
     found = F.concat(*[F.coalesce(one(c), F.array().cast("array<string>")) for c in columns])
@@ -147,7 +145,7 @@ def valid_path(path: str | None) -> str | None:
 
 
 def is_path_like(query: str) -> bool:
-    return bool(re.search(r"[/\\]|(?:^|\s)\S+\.[A-Za-z0-9]{1,12}(?=$|\s)", query))
+    return bool(re.search(r"[\\/]|(?<!\S)\S+\.[0-9A-Za-z]{1,12}(?!\S)", query))
 
 
 def path_query(query: str) -> str:

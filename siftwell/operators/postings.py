@@ -19,11 +19,11 @@ def equal_to(term: str):
     return lambda x: x == term
 
 
-def build(docs: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(postings: key, column, term, tf; sizes: key, dl). One pass of tokenising; term counts combine before the shuffle."""
-    spread = docs.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns])).alias("x"))
-    postings = spread.select(key, "x.column", F.explode("x.terms").alias("term")).groupBy(key, "column", "term").agg(F.count("*").alias("tf"))
-    sizes = docs.select(key, sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).cast("long").alias("dl"))
+def build(docs: DataFrame, key: str, columns: list[str], keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(postings: key, column, term, tf; sizes: key, dl), both with ``keep``. Term counts combine before the shuffle."""
+    spread = docs.select(key, *keep, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns])).alias("x"))
+    postings = spread.select(key, *keep, "x.column", F.explode("x.terms").alias("term")).groupBy(key, *keep, "column", "term").agg(F.count("*").alias("tf"))
+    sizes = docs.select(key, *keep, sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).cast("long").alias("dl"))
     return postings, sizes
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import clip, fuzzy_score
 
-CHANNELS = {"exact_qualified": 0, "exact_short": 1, "path": 2, "identifier": 3, "bm25": 4, "fuzzy_symbol": 5}
+CHANNELS = {c: i for i, c in enumerate("exact_qualified exact_short path identifier bm25 fuzzy_symbol".split())}
 BONUS = {"exact_qualified": 1.0, "exact_short": 0.96, "path": 0.86, "identifier": 0.76, "bm25": 0.66, "fuzzy_symbol": 0.36}
 LIMITS = {"exact_qualified": 50, "exact_short": 50, "path": 50, "identifier": 100, "bm25": 100, "fuzzy_symbol": 512}
 INTENTS = {

@@ -65,7 +65,7 @@ def sql_tokens(c: str) -> str:
 
 
 def sql_camel(c: str) -> str:
-    return f"regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"regexp_replace(regexp_replace({c}, '([0-9a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]{{1,}})([A-Z][a-z])', '\\1 \\2', 'g')"
 
 
 def sql_normal(c: str) -> str:

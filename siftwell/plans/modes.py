@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import is_identifier_like
 from siftwell.operators import ranking as R
 
-MODES = ("auto", "exact", "fuzzy", "lexical", "semantic", "hybrid_rrf", "hybrid_weighted", "graph")
+MODES = ("auto", "exact", "fuzzy", "graph", "hybrid_rrf", "hybrid_weighted", "lexical", "semantic")
 
 
 def route(symbols: DataFrame, query: str, least: float = 0.55, most_candidates: int | None = None) -> str:
@@ -28,7 +28,7 @@ def route(symbols: DataFrame, query: str, least: float = 0.55, most_candidates:
 
 
 def config_id(name: str, settings: dict) -> str:
-    text = json.dumps(settings, sort_keys=True, separators=(",", ":"))
+    text = json.dumps(settings, separators=(",", ":"), sort_keys=True)
     return f"{name}:{hashlib.sha256(text.encode()).hexdigest()[:12]}"
 
 

@@ -13,6 +13,8 @@ TABLES = {
     "embeddings": "chunk_id string, path string, content_hash string, vector array<double>",
     "graph_nodes": "id string, path string, kind string, qualified_name string, name string, start_line int, end_line int, symbol_id string",
     "graph_facts": "id string, path string, ordinal int, kind string, source_node string, target_reference string, source_scope string, module string, start_line int, end_line int, confidence double, target_kind string, hint string, hint_method string, evidence string",
+    "postings": "document string, path string, column string, term string, tf long",
+    "document_sizes": "document string, path string, dl long",
 }
 DERIVED = {
     "graph_status": "id string, path string, status string, method string",

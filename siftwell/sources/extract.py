@@ -87,9 +87,10 @@ def first_string(node: ast.AST) -> ast.AST | None:
 
 def comment_runs(text: str) -> list[tuple[int, int, str]]:
     try:
-        found = {t.start[0]: t.string + "\n" for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT}
-    except (IndentationError, tokenize.TokenError):
+        every = list(tokenize.generate_tokens(io.StringIO(text).readline))
+    except (tokenize.TokenError, IndentationError):
         return []
+    found = {t.start[0]: t.string + "\n" for t in every if t.type == tokenize.COMMENT}
     runs: list[list[int]] = []
     for line in sorted(found):
         if runs and line == runs[-1][1] + 1:
@@ -114,7 +115,7 @@ def python_units(text: str, tree: ast.Module, found: list[tuple[ast.AST, dict]])
     for node in tree.body:
         if isinstance(node, (ast.ClassDef, *FUNCTIONS)) or node is module_doc:
             continue
-        kind = "imports" if isinstance(node, (ast.Import, ast.ImportFrom)) else "assignment" if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)) else "module_code"
+        kind = "imports" if isinstance(node, (ast.Import, ast.ImportFrom)) else "assignment" if isinstance(node, (ast.AugAssign, ast.Assign, ast.AnnAssign)) else "module_code"
         if islands and islands[-1][0] == kind and node.lineno - islands[-1][2] <= 2:
             islands[-1][2] = node.end_lineno
         else:
@@ -139,7 +140,7 @@ class Facts:
         self.package = self.module if path.rsplit("/", 1)[-1] == "__init__.py" else self.module.rpartition(".")[0]
         self.testing, self.stack, self.out = is_test(path), [(self.module, "module", {})], []
 
-    def hint(self, reference: str) -> tuple[str | None, str | None, str | None]:
+    def hint(self, reference: str) -> tuple:
         head, *rest = reference.split(".")
         if head in ("self", "cls") and rest:
             owner = next((r for r, kind, _ in reversed(self.stack) if kind == "class"), None)
@@ -276,7 +277,7 @@ def parsed(sources: DataFrame) -> DataFrame:
                 try:
                     got = _languages[language](path, text or "")
                 except Exception as error:  # one bad file doesn't end the run; what failed is in its row
-                    got = {"diagnostics": [{"stage": "analyse", "message": f"{type(error).__name__}: {error}", "line": None}]}
+                    got = {"diagnostics": [{"stage": "analyse", "message": repr(error), "line": None}]}
                 out.append({"relative_path": path, "language": language, **{g: got.get(g, []) for g in GROUPS}})
             yield pa.RecordBatch.from_pylist(out, schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SUFFIXES = {".py": "python", ".md": "documentation", ".markdown": "documentation", ".rst": "documentation"}
-SKIPPED = {".git", ".venv", "venv", "node_modules", "__pycache__", "build", "dist"}
+SKIPPED = {"__pycache__", "build", "dist", "node_modules", "venv", ".venv", ".git"}
 SKIPPED_AT_ROOT = {"data"}
 MOST_RULES, RULES_BYTES, FILE_BYTES, MOST_FILES, MOST_ENTRIES, SNIFFED = 512, 1_000_000, 1_000_000, 10_000, 100_000, 8192
 FILE_SCHEMA = "relative_path string, language string, modified_time_ns long, size_bytes long, content binary"
