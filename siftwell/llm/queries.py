@@ -125,4 +125,28 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
 
-SQL: dict[str, str] = {"op2_reply_trees": CONVERSATIONS, "op6_site_lines": LINES, "op8_norm_sorted_topk": PRODUCTS}
+REPEATS = """
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), stretches AS (
+    SELECT r, doc_id, k, substr(h, 400 * k + 1, 498) AS c FROM texts, LATERAL (SELECT unnest(range(0, length(h) // 400 + 1)) AS k) WHERE doc_id IS NOT NULL
+), strings AS (
+    SELECT r, doc_id, 200 * k + j AS i, substr(c, 2 * j + 1, 100) AS s FROM stretches, LATERAL (SELECT unnest(range(0, greatest(0, length(c) // 2 - 49))) AS j)
+), firsts AS (
+    SELECT s, min(doc_id) AS first FROM strings GROUP BY s
+), gone AS (
+    SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM strings JOIN firsts USING (s) WHERE first < doc_id
+), numbered AS (
+    SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM gone
+), runs AS (
+    SELECT r, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, run
+), edges AS (
+    SELECT r, a, b FROM runs UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM texts
+), pieces AS (
+    SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS start FROM edges
+)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(length(h)) // 2 AS BIGINT) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+    sha256(unhex(string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY a, b))) AS kept_sha256
+FROM pieces JOIN texts USING (r) GROUP BY r"""
+
+SQL: dict[str, str] = {"op2_reply_trees": CONVERSATIONS, "op6_site_lines": LINES, "op7_longest_previous_factor": REPEATS, "op8_norm_sorted_topk": PRODUCTS}
