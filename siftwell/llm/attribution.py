@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siftwell.llm.bpe import encoder
-from siftwell.llm.buffers import text_bytes
+from siftwell.llm.buffers import portions
 from siftwell.session import ship
 
 
@@ -55,8 +55,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
+        for batch, data, offsets in portions(batches):
             ids, _ = bpe.encode(data, offsets)
             tokens = np.concatenate(([0], np.cumsum(bpe.n_bytes[ids], dtype=np.int64)))
             breaks = np.flatnonzero(data == 10) + 1

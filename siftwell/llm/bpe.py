@@ -70,14 +70,13 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class ByteBpe:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            model = json.load(f)
         of = byte_of_char()
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.path, self._library = path, None
+        self.special = {t["content"] for t in model.get("added_tokens", [])}
+        model = model["model"]
         ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -86,6 +85,15 @@ class ByteBpe:
             self.n_bytes[i] = len(token)
         self.cache = SliceCache(22)
 
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+        return self._library
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         ids, counts = [], []

@@ -42,6 +42,14 @@ def runs_of(offsets: np.ndarray, limit: int, texts: int = 1 << 62) -> Iterator[t
         i = j
 
 
+def portions(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000, texts: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of stretches of each batch whose texts have at most ``limit`` bytes, or one longer text."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        for i, j in runs_of(offsets, limit, texts):
+            yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
 def words64(data: np.ndarray) -> np.ndarray:
     """The little-endian 64-bit word at every byte; ``data`` ends in 8 spare bytes."""
     return np.ndarray((len(data) - 7,), "<u8", data.data if data.flags.c_contiguous else np.ascontiguousarray(data).data, strides=(1,))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.buffers import M1, M2, M3, mix, padded, runs_of, slice_hash, text_bytes, words64
+from siftwell.llm.buffers import M1, M2, M3, mix, padded, portions, slice_hash, words64
 from siftwell.session import cut, ship, stored
 
 COORDINATES, ROWS, THRESHOLD = 125, 5, 0.55
@@ -131,12 +131,8 @@ def signed(docs: DataFrame, t: int, rows: int) -> DataFrame:
     bands = t // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            sig = np.zeros((batch.num_rows, t), np.int32)
-            has = np.zeros(batch.num_rows, bool)
-            for i, j in runs_of(offsets, CHUNK, TEXTS):
-                sig[i:j], has[i:j] = signatures(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], t)
+        for batch, data, offsets in portions(batches, CHUNK, TEXTS):
+            sig, has = signatures(data, offsets, t)
             keys = np.zeros((batch.num_rows, bands), np.uint64)
             parts = sig.view(np.uint32).astype(np.uint64).reshape(-1, bands, rows)
             for k in range(rows):

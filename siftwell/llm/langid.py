@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.buffers import runs_of, sums, text_bytes
+from siftwell.llm.buffers import portions, sums
 from siftwell.session import ship
 
 STRETCH = 256
@@ -152,21 +152,19 @@ def predict(docs: DataFrame, texts: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """``docs`` with lang_pred and score; other columns pass through."""
     ship(docs.sparkSession)
     # what is put in front can't clash with the columns of docs, which stay in one struct
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("text").alias("t"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = parser(texts) if texts else None
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("t"))
+        for batch, data, offsets in portions(batches):
             lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             has = batch.column("has").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in runs_of(offsets, 4_000_000) if model else ():
-                bits = model.costs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                best = bits.argmin(axis=1)
-                lang[i:j] = np.array(model.langs, object)[best]
-                n = np.maximum(1, np.diff(offsets[i : j + 1]))
+            if model:
+                bits = model.costs(data, offsets)
+                lang = np.array(model.langs, object)[bits.argmin(axis=1)]
+                n = np.maximum(1, np.diff(offsets))
                 gap = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(n, 32) / n)[:, None]
-                score[i:j] = 1 / np.exp2(-gap).sum(axis=1)
+                score = 1 / np.exp2(-gap).sum(axis=1)
             lang[~has], score[~has] = "und", 0.0
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.bpe import encoder
-from siftwell.llm.buffers import M1, M2, minima, mix, text_bytes
+from siftwell.llm.buffers import M1, M2, minima, mix, portions
 from siftwell.session import cut, ship, stored
 
 SKETCHES = 4
@@ -48,8 +48,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
         word = np.uint16 if max(len(bpe.n_bytes), end_id + 1) <= 1 << 16 else np.uint32
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
+        for batch, data, offsets in portions(batches):
             ids, counts = bpe.encode(data, offsets)
             bounds = np.concatenate(([0], np.cumsum(counts)))
             sketches = sketch(ids, bounds)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftwell.llm.buffers import SliceCache, padded, ragged, runs_of, slice_hash, sums, text_bytes, words64
+from siftwell.llm.buffers import SliceCache, padded, portions, ragged, runs_of, slice_hash, sums, words64
 from siftwell.session import ship
 
 UNKNOWN_PENALTY, CHUNK, CELLS = 10.0, 2_000_000, 4_000_000
@@ -259,8 +259,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = coder(model)
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
+        for batch, data, offsets in portions(batches):
             ids, counts = u.encode(data, offsets)
             bounds = np.concatenate(([0], np.cumsum(counts)))
             back, places = u.decode(ids, bounds)
