@@ -232,7 +232,7 @@ def first_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one document of each class left: that of the smallest doc_id. Columns and other rows as they are."""
     judged = classes(docs, **parameters)
     kept = judged.filter("keep").select("doc_id", "th")
-    gone = cut(judged.filter("not keep").select("doc_id", "th").exceptAll(kept).distinct())
+    gone = cut(judged.filter("not keep").select("doc_id", "th").subtract(kept))
     own = F.struct(F.xxhash64("text").alias("th"), F.col("doc_id").alias("id"))
     out = docs.join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_th")), "left_anti")
     # rows repeated with the same doc_id and text: one of them stays

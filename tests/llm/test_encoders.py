@@ -95,7 +95,7 @@ def test_unigram_viterbi_and_round_trip(spark):
 
 
 def test_packing_tiles_every_document(spark):
-    rows = [(i, t) for i, t in enumerate(texts())] + [(900, None), (None, "x y"), (7, "again " * 3000), (7, "again " * 3000)]
+    rows = [(i, t) for i, t in enumerate(texts())] + [(900, None), (None, "x y"), (907, "again " * 3000), (907, "again " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     e = encoder(BPE)
     got = pack(docs, BPE, 256).collect()
