@@ -78,7 +78,8 @@ def fuzzy_score(query: str, candidate: Column, least: float = 0.55) -> Column:
     longer = F.greatest(F.length(q), F.length(c))
     bound = F.floor((1 - least) * longer + 1e-12)
     distance = F.levenshtein(q, c)
-    near = F.when(distance <= bound, 1 - distance / longer).otherwise(0.0)
+    # lengths alone rule most names out before a distance is computed
+    near = F.when(F.abs(F.length(q) - F.length(c)) > bound, 0.0).when(distance <= bound, 1 - distance / longer).otherwise(0.0)
     ladder = F.when((q == "") | (c == ""), 0.0).when(q == c, 1.0).when(F.startswith(c, q), 0.95).when(F.contains(c, q), 0.85).otherwise(near)
     return F.coalesce(ladder, F.lit(0.0)).cast("double")
 
@@ -105,7 +106,7 @@ def embedding_text(language: Column, path: Column, kind: Column, symbol: Column,
 
 def line_count(c: Column) -> Column:
     """max(1, number of lines), a last line end not opening another line."""
-    ended = F.regexp_replace(c, f"(?:{LINE_ENDS})$", "")
+    ended = F.regexp_replace(c, f"(?:{LINE_ENDS})\\z", "")
     return F.when(c == "", 1).otherwise(F.greatest(F.lit(1), F.size(F.split(ended, LINE_ENDS, -1))))
 
 

@@ -23,7 +23,7 @@ def sections(docs: DataFrame, key: str, text: Column, starts=None) -> DataFrame:
     rows = rows.select(key, "l", at.alias("at"))
     cut = rows.select(key, "l", F.posexplode(F.arrays_zip(F.col("at").alias("a"), F.concat(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.size("l") + 1)).alias("b"))).alias("n", "s"))
     out = cut.select(key, (F.col("n") + 1).cast("long").alias("section"), F.col("s.a").cast("long").alias("start_line"), (F.col("s.b") - 1).cast("long").alias("end_line"), F.array_join(F.slice("l", F.col("s.a"), F.col("s.b") - F.col("s.a")), "\n").alias("text"))
-    return out.filter(F.btrim("text") != "")
+    return out.filter(F.col("text").rlike(r"\S"))
 
 
 def windows(start: Column, end: Column, most: int = 100, overlap: int = 20) -> Column:
@@ -62,7 +62,7 @@ def span_gaps(owners: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
 
 def distinct_units(units: DataFrame) -> DataFrame:
     """Units once per (path, kind, start, end, text), the first by ordinal; blank ones dropped; by start, end, kind."""
-    keep = units.filter(F.btrim("text") != "").withColumn("nth", F.row_number().over(Window.partitionBy("path", "kind", "start_line", "end_line", "text").orderBy("ordinal")))
+    keep = units.filter(F.col("text").rlike(r"\S")).withColumn("nth", F.row_number().over(Window.partitionBy("path", "kind", "start_line", "end_line", "text").orderBy("ordinal")))
     return keep.filter("nth = 1").drop("nth").orderBy("path", "start_line", "end_line", "kind")
 
 
@@ -74,7 +74,7 @@ def chunks(units: DataFrame, sources: DataFrame, most: int = 100, overlap: int =
     w = units.select("path", "kind", "symbol", F.explode(windows(F.col("start_line"), F.col("end_line"), most, overlap)).alias("w"))
     cut = w.join(sources.select("path", lines(F.col("text")).alias("l")), "path")
     cut = cut.select("path", "kind", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "symbol", F.array_join(F.slice("l", F.col("w.start").cast("int"), (F.col("w.end") - F.col("w.start") + 1).cast("int")), "\n").alias("text"))
-    cut = cut.filter(F.btrim("text") != "").dropDuplicates(["path", "kind", "start", "end", "symbol", "text"])
+    cut = cut.filter(F.col("text").rlike(r"\S")).dropDuplicates(["path", "kind", "start", "end", "symbol", "text"])
     over = cut.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > most_per_file).select("path")
     return cut.join(over, "path", "left_anti"), over
 

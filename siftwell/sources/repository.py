@@ -203,7 +203,7 @@ def manifest(raw: DataFrame) -> DataFrame:
     from siftwell.functions.text import line_count
 
     valid = F.is_valid_utf8(F.col("content"))
-    text = F.when(valid, F.decode("content", F.lit("utf-8")))
+    text = F.when(valid, F.decode("content", "UTF-8"))
     return raw.select(
         F.col("relative_path").alias("path"), "modified_time_ns", "size_bytes", F.sha2("content", 256).alias("content_hash"), "language",
         text.alias("source_text"), line_count(text).alias("line_count"), F.when(F.col("content").isNull(), "read: not readable").when(~valid, "read: not UTF-8").alias("error"),
