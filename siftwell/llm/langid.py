@@ -81,12 +81,15 @@ class CrossParser:
         for lang in self.langs:
             moves = suffix_automaton(bytes(self.code[np.frombuffer(texts[lang], np.uint8)].astype(np.uint8)))
             w = self.width
-            # a letter that doesn't go on ends the phrase and begins the next one
-            root = np.full(w, FLAG, np.int32)
+            # a letter that doesn't go on ends the phrase and begins the next one; one that the text lacks is a phrase by
+            # itself, after which the last state begins anew whatever follows
+            lone = len(moves)
+            anew = np.full(w, FLAG | lone * w, np.int32)
             for c, s in moves[0].items():
-                root[c] = FLAG | s * w
-            table = np.tile(root, (len(moves), 1))
-            table[:, 0] = np.arange(len(moves)) * w
+                anew[c] = FLAG | s * w
+            table = np.tile(anew, (lone + 1, 1))
+            table[0] &= FLAG - 1
+            table[:, 0] = np.arange(lone + 1) * w
             at = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
             table[at, np.fromiter((c for m in moves for c in m), np.int32)] = np.fromiter((s * w for m in moves for s in m.values()), np.int32)
             self.tables.append(table.ravel())
