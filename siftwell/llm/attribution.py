@@ -43,8 +43,7 @@ def attribute(tokens: np.ndarray, sections: np.ndarray, rule: str) -> np.ndarray
             better = held > best
             owner[cross[better]], best[better] = step[better], held[better]
             step = step + 1
-    np.add.at(counts, owner, 1) if len(owner) < 64 else counts.__iadd__(np.bincount(owner, minlength=len(counts)))
-    return counts
+    return counts + np.bincount(owner, minlength=len(counts))
 
 
 def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority") -> DataFrame:

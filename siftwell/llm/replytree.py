@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.session import cut, ship
+from siftwell.session import cut, ship, stored
 
 OPEN, ROLE_END, CLOSE = "### ", ":\n", "\n</turn>\n"
 BACK = {"l": "<", "h": "#", "c": ":", "n": "\n", "\\": "\\"}
@@ -86,7 +86,7 @@ def formatted(messages: DataFrame, best: int = 4) -> DataFrame:
     ``piece`` is the turn as the template has it; the loss mask covers loss_length characters from loss_start.
     """
     m = messages.groupBy("tree", "id").agg(F.min(F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")).alias("m")).select("tree", "id", "m.*")
-    m = cut_ids(m)
+    m = stored(m)  # each round of joins starts from it
     turn = paths(m.select("tree", "id", "parent", "score"), best).join(m.select("tree", "id", "role", "text"), ["tree", "id"])
     head, body = F.concat(F.lit(OPEN), escaped(F.col("role"), True), F.lit(ROLE_END)), escaped(F.col("text"))
     return turn.select(
@@ -95,13 +95,6 @@ def formatted(messages: DataFrame, best: int = 4) -> DataFrame:
     )
 
 
-def cut_ids(messages: DataFrame) -> DataFrame:
-    """Messages stored once, since each round of joins starts from them."""
-    from siftwell.session import stored
-
-    return stored(messages)
-
-
 def read_back(piece: str) -> tuple[str, str]:
     """(role, text) of a formatted turn."""
     role, text = piece[len(OPEN) : -len(CLOSE)].split(ROLE_END, 1)

@@ -4,7 +4,6 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from siftwell.llm.attribution import attribute, section_tokens
 from siftwell.llm.bpe import encoder
