@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import tokens
+from siftwell.session import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -34,15 +35,16 @@ def bm25(docs: DataFrame, key: str, weights: dict[str, float], terms: list[str],
     """
     columns = list(weights)
     searched = searched or columns
-    words = {c: tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
-    dl = sum((F.size(w) for w in words.values()), F.lit(0)).cast("double")
-    spread = docs.select(key, dl.alias("dl"), *[w.alias(f"w_{c}") for c, w in words.items() if c in searched])
-    stats = spread.agg(F.count("*").cast("double").alias("all_docs"), F.avg("dl").alias("avgdl"))
+    words = docs.select(key, *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"w_{c}") for c in columns])
+    dl = sum((F.size(f"w_{c}") for c in columns), F.lit(0)).cast("double")
     tf = F.filter(
         F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("term"), F.lit(float(weights[c])).alias("weight"), F.size(F.filter(F.col(f"w_{c}"), equal_to(t))).cast("double").alias("tf")) for c in searched for t in terms]),
         lambda x: x["tf"] > 0,
     )
-    hits = spread.select(key, "dl", F.explode(tf).alias("h")).select(key, "dl", "h.*")
+    # texts are tokenised once; statistics, frequencies and scores start from the narrow rows
+    spread = cut(words.select(key, dl.alias("dl"), tf.alias("tf")))
+    stats = spread.agg(F.count("*").cast("double").alias("all_docs"), F.avg("dl").alias("avgdl"))
+    hits = spread.select(key, "dl", F.explode("tf").alias("h")).select(key, "dl", "h.*")
     # as many rows as phrases
     n = hits.groupBy("column", "term").agg(F.count("*").cast("double").alias("n"))
     idf = n.join(F.broadcast(stats), F.lit(True))  # one row
