@@ -7,11 +7,12 @@ one of lowest rank; two texts agree in a coordinate with the probability of thei
 are searched up to a limit in inverse proportion to the total weight, which is raised for texts that leave a coordinate
 empty, so work follows the number of elements, not that of coordinates times elements.
 
-Texts are linked if a band (some successive coordinates) is equal and at least ``threshold`` of all coordinates are. In
-each band's bucket every member is compared with one member, chosen by a hash that differs between bands. Those too far
-from it stay together only as far as another band of theirs is equal too, in buckets of their own with other centres,
-and so on until each is alone: similar texts keep meeting, others part after a round or two. So no bucket gives all
-pairs, and none is capped. Texts of equal signatures are one node throughout. Classes are the connected components.
+Texts are linked if a band (some successive coordinates) is equal and at least ``threshold`` of all coordinates are.
+All pairs of a band's bucket are compared; a pair counts in the first band that it shares, so once. Of buckets with the
+same members only that of the first band is compared, which has all of their pairs. A bucket of more than ``block``
+members is split by a hash into parts of about that size, each pair of which is a block of its own. Blocks give a row a
+member, the number of its links and one member that it is connected with, so pairs are never stored. Texts of equal
+signatures are one node throughout. Classes are the connected components.
 
 Cases: texts without a word (null, empty, marks alone) have no signature; each is a class of its own with 0 links, as are
 texts of a single word unless that is equal. Ties between documents go to the smaller doc_id (null first), then to the
@@ -28,11 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.buffers import M1, M2, M3, mix, padded, portions, slice_hash, words64
+from siftwell.llm.buffers import M1, M2, M3, mix, padded, portions, ragged, runs_of, slice_hash, words64
 from siftwell.session import cut, ship, stored
 
 COORDINATES, ROWS, THRESHOLD = 125, 5, 0.55
 CHUNK, TEXTS = 3_000_000, 1 << 16  # of bytes and texts at once
+BLOCK, PAIRS = 2048, 1 << 15  # members of a part of a bucket, pairs compared at once
 S16, S48 = np.uint64(16), np.uint64(48)
 
 
@@ -152,21 +154,6 @@ def signed(docs: DataFrame, t: int, rows: int) -> DataFrame:
     return stored(out.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def agreement(t: int):
-    """Share of equal coordinates of two signatures, by Arrow batch."""
-
-    @F.pandas_udf("double")
-    def share(a, b):
-        import pandas as pd
-
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        x, y = (np.frombuffer(b"".join(s), np.int32).reshape(-1, t) for s in (a, b))
-        return pd.Series((x == y).mean(axis=1))
-
-    return share
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each connected component of the edges (a, b).
 
@@ -186,43 +173,101 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(nodes: DataFrame, t: int, threshold: float) -> DataFrame:
-    """Edges (a, b) between nodes (node, sig, bands) whose agreement with a bucket's centre is enough."""
-    share = agreement(t)
-    sig = nodes.select("node", "sig")
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Make ``label``, the least member of each one's set, that of the sets after a[i] and b[i] are connected."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label[:] = up
+
+
+def compared(block: np.ndarray, first: np.ndarray, nth: np.ndarray, sig: np.ndarray, texts: np.ndarray, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(least member connected with each member, links of each) in blocks of members that stand one after another.
+
+    ``first`` is 0 in a block of one part, where all pairs count; else 1 for the members of the first part, which come
+    first, and 2 for those of the second, and pairs of the two parts count. A link counts the partner's ``texts``.
+    """
+    n, bands = len(block), sig.shape[1] // rows
+    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    nr = np.repeat(np.arange(len(starts)), np.diff(starts, append=n))
+    end = np.append(starts[1:], n)[nr]
+    second = (starts + np.bincount(nr, first == 1, len(starts)).astype(np.int64))[nr]
+    start = np.where(first == 0, np.arange(n) + 1, np.where(first == 1, second, end))
+    count = end - start
+    label, links = np.arange(n), np.zeros(n, np.int64)
+    for i, j in runs_of(np.concatenate(([0], np.cumsum(count))), PAIRS):
+        a, b = np.repeat(np.arange(i, j), count[i:j]), ragged(start[i:j], count[i:j])
+        same = sig[a] == sig[b]
+        near = same.mean(axis=1) >= threshold
+        a, b, same = a[near], b[near], same[near]
+        band = same[:, : bands * rows].reshape(-1, bands, rows).all(axis=2)
+        once = band[np.arange(len(a)), nth[a]] & (band.argmax(axis=1) == nth[a])
+        a, b = a[once], b[once]
+        np.add.at(links, a, texts[b])
+        np.add.at(links, b, texts[a])
+        joined(label, a, b)
+    return label, links
+
+
+def links(nodes: DataFrame, t: int, rows: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, links) of nodes (node, texts, sig, bands) with links: these add up by a; the edges (a, b) connect classes."""
     member = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
-    found, turn = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), 0
-    while True:
-        # the member of least hash, which differs between bands, is a bucket's centre
-        centre = member.groupBy("band").agg(F.min_by("node", F.struct(F.xxhash64("node", "band"), F.col("node"))).alias("centre"), F.count("*").alias("size")).filter("size > 1")
-        spokes = cut(member.join(centre.select("band", "centre"), "band").filter("node <> centre"))
-        pairs = spokes.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
-        judged = cut(pairs.select("a", "b", (share("sa", "sb") >= threshold).alias("near")))
-        found, turn = found.union(judged.filter("near").select("a", "b")), turn + 1
-        far = judged.filter("not near").select("a", "b")
-        if far.isEmpty():
-            return found.distinct()
-        left = spokes.select("node", "nth", "band", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(far, ["a", "b"]).select("node", "nth", "band")
-        other = F.get("bands", (F.col("nth") + turn) % F.size("bands"))
-        member = left.join(nodes.select("node", "bands"), "node").select("node", "nth", F.xxhash64("band", other).alias("band"))
-
-
-def classes(docs: DataFrame, t: int = COORDINATES, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    bucket = member.groupBy("band", "nth").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).filter("size > 1")
+    bucket = bucket.groupBy("size", "x", "y").agg(F.min(F.struct("nth", "band")).alias("b")).select("b.band", "b.nth", "size")
+    parts = F.ceil(F.col("size") / block).cast("int")
+    spots = cut(member.join(bucket, ["band", "nth"]).select("node", "nth", "band", parts.alias("parts"), F.pmod(F.xxhash64("band", "node"), parts).cast("int").alias("own")))
+    wide = spots.join(nodes.select("node", "texts", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    wide = wide.select("node", "texts", "sig", "nth", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), first.alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(got: pa.Table) -> pa.RecordBatch:
+            node, texts, nth, side, *key = (got[c].to_numpy() for c in ("node", "texts", "nth", "first", "band", "i", "j"))
+            new = np.concatenate(([False], np.logical_or.reduce([k[1:] != k[:-1] for k in key])))
+            sig = np.frombuffer(b"".join(got["sig"].to_pylist()), np.int32).reshape(-1, t)
+            label, n = compared(np.cumsum(new), side, nth, sig, texts, rows, threshold)
+            has = n > 0
+            return pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (node, node[label], n)], ["a", "b", "links"])
+
+        left = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last block may go on in the next batch
+            last = np.logical_and.reduce([(k := batch.column(c).to_numpy()) == k[-1] for c in ("band", "i", "j")])
+            if left and last.all() and all(left[-1].column(c)[-1] == batch.column(c)[0] for c in ("band", "i", "j")):
+                left.append(batch)
+                continue
+            at = int(np.argmax(last))
+            whole = pa.Table.from_batches([*left, batch.slice(0, at)])
+            if whole.num_rows:
+                yield judged(whole)
+            left = [batch.slice(at)]
+        if left:
+            yield judged(pa.Table.from_batches(left))
+
+    return wide.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "first").mapInArrow(run, "a long, b long, links long")
+
+
+def classes(docs: DataFrame, t: int = COORDINATES, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(rid, doc_id, th, class_id, n_links, keep): th is xxhash64 of the text, keep marks a class's first row.
 
-    class_id is the smallest doc_id of the class. n_links counts the links of the document's text to other texts'
-    signatures, and one more if other rows have its own.
+    class_id is the smallest doc_id of the class. n_links counts the other texts that the document's text is linked to,
+    those of equal signature among them, and one more if other rows have the same text.
     """
     signs = signed(docs, t, rows)
-    alike = signs.filter("whole is not null").groupBy("whole").agg(F.min("rid").alias("node"), F.count("*").alias("copies"))
-    alike = cut(alike)
-    nodes = signs.select(F.col("rid").alias("node"), "sig", "bands").join(alike.select("node"), "node")
-    edges = cut(links(nodes, t, threshold))
+    alike = cut(signs.filter("whole is not null").groupBy("whole", "th").agg(F.min("rid").alias("node"), F.count("*").alias("copies")))
+    same = cut(alike.groupBy("whole").agg(F.min("node").alias("node"), F.count("*").alias("texts")))
+    nodes = signs.select(F.col("rid").alias("node"), "sig", "bands").join(same.select("node", "texts"), "node")
+    edges = cut(links(nodes, t, rows, threshold, block))
     label = components(edges)
-    degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
-    node = alike.join(label.join(degree, "id"), F.col("node") == F.col("id"), "left").select("whole", F.coalesce("label", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)).cast("long").alias("n_links"))
-    rows_out = signs.select("rid", "doc_id", "th", "whole").join(node, "whole", "left").select("rid", "doc_id", "th", F.coalesce("component", "rid").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    degree = edges.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    node = same.join(label.join(degree, "id"), F.col("node") == F.col("id"), "left").select("whole", F.coalesce("label", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("links"))
+    node = alike.select("whole", "th", "copies").join(node, "whole").select("whole", "th", "component", (F.col("links") + F.when(F.col("copies") > 1, 1).otherwise(0)).cast("long").alias("n_links"))
+    rows_out = signs.select("rid", "doc_id", "th", "whole").join(node, ["whole", "th"], "left").select("rid", "doc_id", "th", F.coalesce("component", "rid").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows_out = cut(rows_out)
     first = rows_out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("o"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))).alias("first"), F.min("doc_id").alias("class_id"))
     return rows_out.join(first, "component").select("rid", "doc_id", "th", "class_id", "n_links", (F.col("rid") == F.col("first.r")).alias("keep"))

@@ -75,6 +75,23 @@ def test_first_of_each_keeps_rows_and_columns(spark):
     assert first_of_each(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_links_are_all_banded_pairs(spark):
+    rng = random.Random(5)
+    base = prose(rng, 150).split()
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base) for share in (0.03, 0.08, 0.15) for _ in range(50)]
+    sig, _ = signatures(*text_bytes(pa.array(texts)))
+    same = sig[:, None] == sig[None]
+    linked = (same.mean(axis=2) >= 0.55) & same.reshape(150, 150, 25, 5).all(axis=3).any(axis=2) & ~np.eye(150, dtype=bool)
+    want = linked.sum(axis=1).tolist()
+    assert max(want) > 90 and min(want) < 60
+    rows = list(enumerate(texts)) + [(200, texts[0].upper()), (201, texts[0])]
+    twin = [linked[0, i] for i in range(150)]  # the text in capitals is another text of the same signature
+    for block in (2048, 7):
+        got = {r.doc_id: r.n_links for r in classes(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+        assert [got[i] for i in range(150)] == [n + int(twin[i]) + 2 * (i == 0) for i, n in enumerate(want)]
+        assert got[200] == want[0] + 1 and got[201] == got[0]
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (100, 102)]
     got = {r.id: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
