@@ -1,14 +1,18 @@
 """Related-document packing.
 
-Documents are encoded once and stored with a few minimum hashes of their word pairs. Blocks of rows of near hashes form
-a nearest-neighbour graph: rows that agree in a hash are linked along the block's order by it, an edge's weight being
-the number of hashes in common. In each block a greedy walk starts at the unvisited row of lowest degree and goes on to
-the unvisited neighbour of largest weight (then lower degree, then input order) until none is left; then it starts
-anew. Laid one after another the paths are one stream of tokens, which windows of ``window`` tokens cut. So each window
-holds documents of one path for as long as it lasts, and only the last one has padding (to the next power of two).
-
-Blocks are bounded: a range partition by (hash, row) splits even a group of equal hashes. Offsets come from one total
-per block, so nothing else leaves a block. Cases: null text counts as empty and gives the end token alone; repeated
+Documents are encoded once and stored with a few minimum hashes of their word pairs. Rows that agree in a hash are linked
+along the input's order, an edge's weight being the number of hashes in common; this is the neighbour graph of all rows.
+In each connected piece of it a greedy walk starts at the unvisited row of lowest degree and goes on to the unvisited
+neighbour of largest weight (then lower degree, then input order) until none is left; then it starts anew. Laid one
+after another the paths are one stream of tokens, which windows of ``window`` tokens cut. So each window holds documents
+of one path for as long as it lasts, and only the last one has padding (to the next power of two).
+
+Pieces are found from each hash's rows and the least of them, and spread over blocks of about ``block_rows`` rows. Rows
+of an equal hash are always in one piece, so a block has all links of its rows, and no link depends on the number of
+blocks. A walk is sequential: a piece is walked in one task however large it is, from 48 bytes a row and 4 a neighbour
+besides what sorting takes. Offsets come from one total per block, so nothing else leaves a block.
+
+Cases: null text counts as empty and gives the end token alone; repeated
 documents and repeated or null doc_id stay separate rows; an empty table gives no pieces.
 """
 
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.bpe import encoder
 from siftwell.llm.buffers import M1, M2, minima, mix, portions
+from siftwell.llm.dartminhash import components
 from siftwell.session import cut, ship, stored
 
 SKETCHES = 4
@@ -81,8 +86,8 @@ def walk(sketches: np.ndarray) -> np.ndarray:
     src, dst, w = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((weight, weight))
     degree = np.bincount(src, minlength=n)
     order = np.lexsort((dst, degree[dst], -w, src))
-    dst = dst[order].tolist()
-    first = np.concatenate(([0], np.cumsum(degree))).tolist()
+    dst = memoryview(dst[order].astype(np.int32))  # 4 bytes a neighbour, where a list takes 40
+    first = memoryview(np.concatenate(([0], np.cumsum(degree))))
     out, seen = [], bytearray(n)
     for start in np.argsort(degree, kind="stable").tolist():
         at = start
@@ -93,6 +98,14 @@ def walk(sketches: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """(id, label) of the rows (rid, s0, s1, ...) that agree with another in a hash: the least rid that links lead to."""
+    hashes = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"s{i}").alias("s")) for i in range(SKETCHES)])
+    keys = rows.select("rid", F.explode(hashes).alias("key")).select("rid", "key.i", "key.s").filter(F.col("s") != EMPTY)
+    least = keys.groupBy("i", "s").agg(F.min("rid").alias("least"), F.count("*").alias("size")).filter("size > 1").select("i", "s", "least")
+    return components(keys.join(least, ["i", "s"]).filter("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b")))
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, block_rows: int = 20_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
@@ -104,14 +117,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, b
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = pa.Table.from_batches(batches)
-        if got.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            got = pa.Table.from_batches(batches)
             got = got.take(pa.array(walk(np.column_stack([got[c].to_numpy() for c in names]))))
             n = got["n"].to_numpy()
             block = np.full(len(n), TaskContext.get().partitionId(), np.int32)
             yield pa.RecordBatch.from_arrays([got["rid"].combine_chunks(), pa.array(block), pa.array(np.cumsum(n) - n), pa.array(n)], ["rid", "block", "at", "n"])
 
-    laid = rows.repartitionByRange(blocks, *names, "rid").sortWithinPartitions("rid").mapInArrow(order, "rid long, block int, at long, n long")
+    label = pieces(rows)
+    rows = rows.join(label, F.col("rid") == F.col("id"), "left").select("rid", "n", *names, F.coalesce("label", "rid").alias("piece"))
+    laid = rows.repartition(blocks, "piece").drop("piece").sortWithinPartitions("rid").mapInArrow(order, "rid long, block int, at long, n long")
     laid = cut(laid)
     # one row per block, of which there are rows / block_rows
     bases, total = {}, 0

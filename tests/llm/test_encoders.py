@@ -125,3 +125,26 @@ def test_packing_tiles_every_document(spark):
 def test_walk_starts_low_and_follows_neighbours():
     s = np.array([[1, 7], [1, 8], [2, 8], [3, 9]], np.int64)
     assert walk(s).tolist() == [3, 0, 1, 2]
+
+
+def test_packing_keeps_links_of_every_hash_in_many_blocks(spark):
+    from siftwell.llm import packing
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = [f"{rng.randrange(10**9)}" for _ in range(40)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:24] + [f"{rng.randrange(10**9)}" for _ in range(16)]))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = {r.doc_id: [r.s0, r.s1, r.s2, r.s3] for r in packing.encoded(docs, BPE, 1).collect()}
+    shared = [(a, b) for a in sketches for b in sketches if a < b and any(x == y for x, y in zip(sketches[a], sketches[b]))]
+    other = [(a, b) for a, b in shared if sketches[a][0] != sketches[b][0]]
+    degree = {d: sum(d in p for p in shared) for p in shared for d in p}
+    alone = [(a, b) for a, b in other if degree[a] == degree[b] == 1]
+    assert len(alone) >= 5
+    for block_rows in (20_000, 5):
+        order = {}
+        for r in sorted(pack(docs, BPE, 256, block_rows=block_rows).collect(), key=lambda r: (r.sequence_id, r.offset)):
+            order.setdefault(r.doc_id, len(order))
+        assert all(abs(order[a] - order[b]) == 1 for a, b in alone)
