@@ -1,7 +1,9 @@
 """Site-relative line deduplication.
 
 For each site and line: the share of the site's pages that contain the line. A line whose share exceeds ``ratio``, on a
-site of at least ``least_pages`` pages, is boilerplate and dropped from every page of the site.
+site of at least ``least_pages`` pages, is boilerplate and dropped from every page of the site, if at least
+``least_holders`` pages hold it. The query's SQL sets 20 pages and 2 holders, so it leaves smaller sites alone; the
+pipeline judges sites of any size, from 3 holders on, which is what the ratio asks for at 20 pages.
 
 A line counts once a page however often it stands there; lines are compared without outer blanks, by two 64-bit hashes.
 Blank lines are never dropped. Pages' lines are counted by (site, line) with partial sums, so no site is ever gathered;
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siftwell.session import cut
 
-RATIO, LEAST_PAGES, SALTS, BROADCAST_BYTES = 0.1, 20, 64, 8_000_000
+RATIO, LEAST_PAGES, LEAST_HOLDERS, SALTS, BROADCAST_BYTES = 0.1, 20, 2, 64, 8_000_000
 BLANKS = " \t\r\v\f"
 
 
@@ -37,20 +39,20 @@ def key(line: Column) -> Column:
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))
 
 
-def boilerplate(docs: DataFrame, site: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS) -> DataFrame:
     """(site, lines: array of keys) of the sites that have boilerplate."""
     pages = docs.filter(F.col("text").isNotNull() & F.col(site).isNotNull()).select(F.col(site).alias("site"), "text")
     totals = pages.groupBy("site").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: trimmed(x) != ""), key))
     counted = pages.select("site", F.explode(lines).alias("line")).groupBy("site", "line.a", "line.b").agg(F.count("*").alias("n"))
     # one row per site on the other side
-    often = counted.filter(F.col("n") > 1).join(totals, "site").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
+    often = counted.filter(F.col("n") >= least_holders).join(totals, "site").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
-def stripped(docs: DataFrame, site: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, salts: int = SALTS) -> DataFrame:
+def stripped(docs: DataFrame, site: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, salts: int = SALTS) -> DataFrame:
     """(row: the columns of docs, n_lines, n_dropped, kept: the text left)."""
-    found = cut(boilerplate(docs, site, ratio, least_pages))
+    found = cut(boilerplate(docs, site, ratio, least_pages, least_holders))
     size = found.agg(F.sum(F.size("lines") * 32 + F.octet_length("site") + 32)).first()[0] or 0
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     if size <= BROADCAST_BYTES:

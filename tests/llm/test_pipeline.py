@@ -22,3 +22,11 @@ def test_empty_documents(spark):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_lines_of_small_sites(spark):
+    menu = [(i, f"menu\nown {i}", "en", "of 19", 9) for i in range(19)]
+    both = [(i, f"both\nown {i}", "en", "of 2", 9) for i in (20, 21)]
+    docs = spark.createDataFrame(menu + both, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in C.lines(spark, docs, SF).collect()}
+    assert got == {**{i: f"own {i}" for i in range(19)}, 20: "both\nown 20", 21: "both\nown 21"}
