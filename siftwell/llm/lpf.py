@@ -1,17 +1,17 @@
-"""Suffix-array deduplication: bytes that repeat an earlier document's, by longest-previous-factor arrays.
+"""Deduplication of repeated stretches: bytes that repeat an earlier document's, by a grouped minimum over minimizers.
 
 Of every string of ``width`` bytes that also starts in a document of smaller doc_id, all bytes are removed; strings are
-judged on the input. The suffixes of a text in sorted order have their longest earlier factor at the nearest smaller
-positions before and after them; here positions are doc_ids, order goes as deep as ``width`` bytes, and what counts is
-whether a nearest smaller position exists in the stretch of suffixes that agree that far.
+judged on the input. Longest-previous-factor arrays would tell this from the nearest smaller positions of each suffix;
+they aren't computed. Since only factors of ``width`` bytes count, whether one exists is whether the smallest doc_id
+among equal strings is below the document's own, so a minimum by equal string gives the same bytes.
 
 No suffix array of the whole corpus is built. Each string belongs to its minimizer, the ``K``-byte piece of least hash
-in it, and equal strings have equal minimizers, so arrays are built for the strings of one minimizer at a time:
+in it, and equal strings have equal minimizers, so minima are taken for the strings of one minimizer at a time:
 
 1. Each bucket of documents gives its distinct minimizers as 6-byte hashes; parts by hash tell which ones occur in
    several documents, as one bit each, which go back to the buckets.
 2. For those only, the stretch of text over which a minimizer lasts goes to the part, each distinct one of a bucket
-   once, with its smallest doc_id. There, strings are put in suffix order wherever a minimizer has several stretches.
+   once, with its smallest doc_id. There, equal strings are brought together (sorted by a hash) wherever a minimizer has several stretches.
    The smallest doc_id of each string goes back.
 3. Each bucket marks the strings whose smallest doc_id is below the document's own.
 
@@ -139,7 +139,7 @@ def smallest(minimizer: np.ndarray, stretch: np.ndarray, bounds: np.ndarray, doc
         code = mix(minimizer[which])
         for k in keys:
             code = mix(code * M1 ^ k)
-        # suffix order to the full depth, from words; a hash only shortens what has to be compared
+        # equal strings side by side: by hash, then by words to the full depth
         order2 = np.lexsort((*keys, code))
         same = np.ones(len(at), bool)
         same[0] = False
