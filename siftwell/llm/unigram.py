@@ -222,9 +222,11 @@ class Unigram:
             if not self.cache.room(len(new)):
                 self.cache.clear()
                 missing = np.arange(len(h))
-                new, at = np.unique(h, return_index=True)
-            if len(new) > (self.cache.mask + 1) // 2:
-                raise ValueError("more distinct words in a batch than the table holds")
+                new, at, nth = np.unique(h, return_index=True, return_inverse=True)
+                if not self.cache.room(len(new)):
+                    # a text of more distinct words than the table holds is encoded without it
+                    n, ids = self.viterbi(data, starts[at], lengths[at])
+                    return ids[ragged((np.cumsum(n) - n)[nth], n[nth])], sums(n[nth], np.searchsorted(starts, offsets))
             n, ids = self.viterbi(data, starts[missing[at]], lengths[missing[at]])
             self.cache.add(new, n.astype(np.int32), ids)
             entry = self.cache.find(h)

@@ -93,6 +93,14 @@ def test_unigram_viterbi_and_round_trip(spark):
     assert all(back[i] == (t or "") for i, t in rows)
 
 
+def test_unigram_of_more_words_than_the_table_holds():
+    u, few = coder(PIECES), type(coder(PIECES))(PIECES)
+    few.cache = SliceCache(4)
+    data, offsets = text_bytes(pa.array(["", " ".join(f"w{i} again" for i in range(300)), "a few words again", " ".join(map(str, range(99)))]))
+    want, got = u.encode(data, offsets), few.encode(data, offsets)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got)) and got[1][0] == 0
+
+
 def test_packing_tiles_every_document(spark):
     rows = [(i, t) for i, t in enumerate(texts())] + [(900, None), (None, "x y"), (907, "again " * 3000), (907, "again " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
