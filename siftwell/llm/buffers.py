@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+TRIM_BYTES = 8_000_000
 S31, S29, S32 = np.uint64(31), np.uint64(29), np.uint64(32)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """The one large model that a worker keeps between tasks; one of another key takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system; Arrow's pool and glibc's heap would keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words (two rounds of multiply and shift)."""
     h = (h ^ (h >> S31)) * M2
@@ -42,12 +64,21 @@ def runs_of(offsets: np.ndarray, limit: int, texts: int = 1 << 62) -> Iterator[t
         i = j
 
 
-def portions(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000, texts: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of stretches of each batch whose texts have at most ``limit`` bytes, or one longer text."""
+def portions(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000, texts: int = 1 << 16, within: str | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of stretches of each batch whose texts have at most ``limit`` bytes, or one longer text.
+
+    ``within``: the struct column that holds the texts, so that they needn't be sent twice.
+    """
+    done = 0
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
+        data, offsets = text_bytes(pc.struct_field(batch.column(within), "text") if within else batch.column("text"))
         for i, j in runs_of(offsets, limit, texts):
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        done += len(data)
+        if done > TRIM_BYTES:
+            trim()
+            done = 0
+    trim()
 
 
 def words64(data: np.ndarray) -> np.ndarray:
@@ -78,9 +109,15 @@ def slice_hash(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 
 
 class SliceCache:
-    """Open-addressing table from slice hashes to ragged int32 values; emptied when full."""
+    """Open-addressing table from slice hashes to ragged int32 values, of at most half as many entries as places.
+
+    Its owner empties it when there is no ``room``. Entries and, at ``pool_limit`` values, the pool are bounded: 12 bytes a
+    place, 12 an entry and 4 a value make at most 34 MB for 20 bits.
+    """
+
+    pool_limit = 1 << 22
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.bits, self.shift, self.mask = bits, np.uint64(64 - bits), (1 << bits) - 1
         self.clear()
 
@@ -89,8 +126,8 @@ class SliceCache:
         self.n, self.pool_n = 0, 0
         self.starts, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
 
-    def room(self, n: int) -> bool:
-        return self.n + n <= (self.mask + 1) // 2
+    def room(self, n: int, values: int = 0) -> bool:
+        return self.n + n <= (self.mask + 1) // 2 and self.pool_n + values <= self.pool_limit
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, or -1."""

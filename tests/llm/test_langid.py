@@ -45,6 +45,26 @@ def test_phrase_counts_equal_brute_force():
         assert row.tolist() == [phrases(train[k], t.encode()) for k in ("x", "y")], t
 
 
+def test_whole_texts_equal_brute_force():
+    """Texts of many stretches, some of short period, whose walks from the root never meet the real ones."""
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "sat", "on", "a", "mat", "là", "été"]
+    train = {"x": " ".join(rng.choice(words, 300)).encode(), "y": b"a" * 37 + b" ab" * 11}
+    texts = [" ".join(rng.choice(words, n)) for n in (60, 400, 900)] + ["a" * 5000, "ab" * 1500 + "c", " ab" * 700, "zq" * 600, "b" * 256, "a" * 257, ""]
+    m = CrossParser(train)
+    got = np.round(m.costs(*text_bytes(pa.array(texts))) / np.array(m.weights), 6)
+    for t, row in zip(texts, got):
+        assert row.tolist() == [phrases(train[k], t.encode()) for k in ("x", "y")], t[:20]
+
+
+def test_training_takes_whole_rows(spark):
+    rows = [(i, f"word{i} " * 20, "en") for i in range(40)] + [(90, "long " * 2000, "en"), (91, "seul " * 9000, "fr"), (None, "sans numéro", "de"), (None, "sans numéro", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = dict(labelled_text(docs, F.lit(True), train_bytes=2000))
+    assert len(texts["en"]) <= 2001 and set(texts["en"].decode().split("\n")) - {""} <= {t for _, t, _ in rows[:40]}
+    assert texts["fr"] == ("seul " * 400).encode() + b"\n" and texts["de"] == "sans numéro\n".encode()
+
+
 def test_held_out_accuracy(spark):
     out = op1_cross_parsing(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
