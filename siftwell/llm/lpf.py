@@ -1,25 +1,28 @@
-"""Deduplication of repeated stretches: bytes that repeat an earlier document's, by a grouped minimum over minimizers.
+"""Deduplication of repeated stretches by longest-previous-factor arrays.
 
 Of every string of ``width`` bytes that also starts in a document of smaller doc_id, all bytes are removed; strings are
-judged on the input. Longest-previous-factor arrays would tell this from the nearest smaller positions of each suffix;
-they aren't computed. Since only factors of ``width`` bytes count, whether one exists is whether the smallest doc_id
-among equal strings is below the document's own, so a minimum by equal string gives the same bytes.
+judged on the input. In suffix order, the nearest positions before and after with a smaller doc_id are those earlier
+documents' suffixes that share most with a suffix: the longest previous factor is the greater of the two least common
+prefixes on the way there. A string goes if its factor has ``width`` bytes; the first copy has none, so it stays.
 
 No suffix array of the whole corpus is built. Each string belongs to its minimizer, the ``K``-byte piece of least hash
-in it, and equal strings have equal minimizers, so minima are taken for the strings of one minimizer at a time:
+in it, and equal strings have equal minimizers, so the suffixes of one minimizer at a time are ordered (to a depth of
+``width``) and their factors found:
 
 1. Each bucket of documents gives its distinct minimizers as 6-byte hashes; parts by hash tell which ones occur in
    several documents, as one bit each, which go back to the buckets.
 2. For those only, the stretch of text over which a minimizer lasts goes to the part, each distinct one of a bucket
-   once, with its smallest doc_id. There, equal strings are brought together (sorted by a hash) wherever a minimizer has several stretches.
-   The smallest doc_id of each string goes back.
-3. Each bucket marks the strings whose smallest doc_id is below the document's own.
+   once, with its smallest doc_id. There, equal stretches are merged, and where a minimizer has several, the factors of
+   all their suffixes are found. One bit a string goes back, or one a stretch whose strings agree.
+3. Each bucket marks the strings that have an earlier copy, there or in the bucket itself.
 
 Hot passages are one row a bucket however many documents hold them; buckets and parts have a bounded size, their
 number growing with the input. Steps use one shuffle of the texts, which the plan reuses.
 
 Cases: null text counts as empty; null doc_id neither removes nor is removed; rows of equal doc_id don't remove from
-each other; texts shorter than ``width`` stay; very long texts are scanned in overlapping stretches.
+each other; texts shorter than ``width`` stay; very long texts are scanned in overlapping stretches. An empty table
+gives no rows. ``removal_report`` reads doc_id and text alone; ``without_repeats`` carries the other columns in one
+struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -29,30 +32,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.buffers import M1, M2, M3, mix, padded, ragged, runs_of, slice_hash, sums, text_bytes, words64
+from siftwell.llm.buffers import M1, M2, M3, mix, padded, ragged, runs_of, slice_hash, sums, text_bytes, trim, words64
 from siftwell.session import ship, shuffle_partitions, size_in_bytes
 
-K, BUCKET_BYTES, CHUNK = 20, 2_000_000, 1_000_000
+K, BUCKET_BYTES, CHUNK = 20, 2_000_000, 500_000
 NEVER = np.iinfo(np.int64).max
 LOW48, LOW20 = np.uint64((1 << 48) - 1), np.uint64((1 << 20) - 1)
 
 
-def previous_and_next_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position of ``values``, the nearest before and after with a smaller value; -1 where there is none."""
+def previous_smaller(values: np.ndarray, lcp: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest position before with a smaller value, or -1; least of ``lcp`` on the way) of each position.
+
+    lcp[i] belongs to positions i - 1 and i. Where the least falls under ``least``, the search ends there and it is 0.
+    """
     n = len(values)
-    before, after, stack = np.full(n, -1), np.full(n, -1), []
-    for i, v in enumerate(values.tolist()):
-        while stack and stack[-1][1] > v:
-            after[stack.pop()[0]] = i
-        j = len(stack) - 1
-        while j >= 0 and stack[j][1] == v:
-            j -= 1
-        before[i] = stack[j][0] if j >= 0 else -1
-        stack.append((i, v))
-    return before, after
+    at, low = np.arange(n) - 1, lcp.copy()
+    low[:1] = 0
+    live = np.flatnonzero(low >= least)
+    low[low < least] = 0
+    live = live[values[at[live]] >= values[live]]
+    for _ in range(64):
+        # between a position and its pointer all values are at least as great, so pointers can be followed
+        j = at[live]
+        low[live], at[live] = np.minimum(low[live], low[j]), at[j]
+        live = live[low[live] >= least]
+        live = live[values[at[live]] >= values[live]]
+        if not len(live):
+            break
+    else:
+        _by_stack(values, lcp, least, at, low)
+    at[low < least], low[low < least] = -1, 0
+    return at, low
+
+
+def _by_stack(values: np.ndarray, lcp: np.ndarray, least: int, at: np.ndarray, low: np.ndarray) -> None:
+    """The same in one pass, for values whose pointers form long chains."""
+    stack: list[tuple[int, int, int]] = []
+    for i, (v, shared) in enumerate(zip(values.tolist(), lcp.tolist())):
+        if shared < least:
+            stack.clear()
+        while stack and stack[-1][1] >= v:
+            shared = min(shared, stack.pop()[2])
+        at[i], low[i] = (stack[-1][0], shared) if stack and shared >= least else (-1, 0)
+        stack.append((i, v, shared))
+
+
+def longest_previous_factors(values: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """What each suffix shares with those of smaller value, at most; suffixes are in order, lcp[i] being that of i - 1 and i."""
+    _, before = previous_smaller(values, lcp, least)
+    _, after = previous_smaller(values[::-1], np.append(lcp[1:], 0)[::-1], least)
+    return np.maximum(before, after[::-1])
+
+
+def common_prefixes(words: list[np.ndarray], width: int) -> np.ndarray:
+    """Bytes that each string shares with the one before it; words: big-endian, 8 bytes each, the last ending at ``width``."""
+    n = len(words[0])
+    lcp = np.zeros(n, np.int64)
+    live = np.arange(1, n)
+    for k, word in enumerate(words):
+        first = min(8 * k, width - 8)
+        x = word[live] ^ word[live - 1]
+        end = np.flatnonzero(x != 0)
+        zeros = np.zeros(len(end), np.int64)
+        for t in range(1, 8):
+            zeros += x[end] < np.uint64(1) << np.uint64(8 * t)
+        lcp[live[end]] = first + zeros
+        live = live[x == 0]
+    lcp[live] = width
+    return lcp
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,17 +154,16 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def smallest(minimizer: np.ndarray, stretch: np.ndarray, bounds: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest doc of every string, bounds of each stretch's strings), stretches being ragged bytes.
+def repeated(minimizer: np.ndarray, stretch: np.ndarray, bounds: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each string also starts in a document before ``doc``, bounds of each stretch's strings); stretches are ragged bytes.
 
-    Equal stretches are merged. Strings of a minimizer that has several are sorted as suffixes to a depth of ``width``.
+    Equal stretches are merged. Strings of a minimizer that has several are put in suffix order to a depth of ``width``.
     """
     n = np.diff(bounds)
     strings = n - width + 1
     string_bounds = np.concatenate(([0], np.cumsum(strings)))
-    out = np.repeat(doc, strings)
     if not len(n):
-        return out, string_bounds
+        return np.zeros(0, bool), string_bounds
     w = words64(padded(stretch))
     content = slice_hash(w, bounds[:-1], n)
     order = np.lexsort((content, minimizer))
@@ -121,11 +171,10 @@ def smallest(minimizer: np.ndarray, stretch: np.ndarray, bounds: np.ndarray, doc
     new_m = np.concatenate(([True], m[1:] != m[:-1]))
     new = new_m | np.concatenate(([True], c[1:] != c[:-1]))
     lead = np.flatnonzero(new)
-    low = np.minimum.reduceat(doc[order], lead)
     group = np.empty(len(n), np.int64)
     group[order] = np.cumsum(new) - 1
-    own = low[group]
-    out = np.repeat(own, strings)
+    own = np.minimum.reduceat(doc[order], lead)[group]
+    out = np.repeat(doc > own, strings)
     # minimizers with several different stretches
     family = np.cumsum(new_m) - 1
     several = np.bincount(family[lead]) > 1
@@ -133,27 +182,18 @@ def smallest(minimizer: np.ndarray, stretch: np.ndarray, bounds: np.ndarray, doc
     if len(rep):
         at = ragged(bounds[:-1][rep], strings[rep])
         which = np.repeat(rep, strings[rep])
-        keys = [w[at + d] for d in range(0, width - 7, 8)]
-        if width % 8:
-            keys.append(w[at + width - 8])
-        code = mix(minimizer[which])
-        for k in keys:
-            code = mix(code * M1 ^ k)
-        # equal strings side by side: by hash, then by words to the full depth
-        order2 = np.lexsort((*keys, code))
-        same = np.ones(len(at), bool)
-        same[0] = False
-        for k in (code, *keys):
-            same[1:] &= k[order2][1:] == k[order2][:-1]
-        starts = np.flatnonzero(~same)
-        least = np.minimum.reduceat(own[which][order2], starts)
-        per = np.empty(len(at), np.int64)
-        per[order2] = np.repeat(least, np.diff(starts, append=len(at)))
+        words = [w[at + min(d, width - 8)].byteswap() for d in range(0, width, 8)]
+        suffixes = np.lexsort((*words[::-1], minimizer[which]))
+        which = which[suffixes]
+        lcp = common_prefixes([x[suffixes] for x in words], width)
+        lcp[1:][minimizer[which[1:]] != minimizer[which[:-1]]] = 0
+        found = np.empty(len(at), bool)
+        found[suffixes] = longest_previous_factors(own[which], lcp, width) >= width
         # back to every stretch through its representative
         place = np.full(len(lead), -1, np.int64)
         place[group[rep]] = np.cumsum(strings[rep]) - strings[rep]
         these = np.flatnonzero(place[group] >= 0)
-        out[ragged(string_bounds[:-1][these], strings[these])] = per[ragged(place[group[these]], strings[these])]
+        out[ragged(string_bounds[:-1][these], strings[these])] |= found[ragged(place[group[these]], strings[these])]
     return out, string_bounds
 
 
@@ -299,42 +339,44 @@ def marked(docs: DataFrame, output, schema: str, width: int = 50) -> DataFrame:
             size = int.from_bytes(x[4 + 18 * k : 12 + 18 * k], "little")
             bodies.append(np.frombuffer(pa.decompress(x[12 + 18 * k :], size, "zstd", asbytes=True), np.uint8))
         length = np.concatenate(lengths)
-        low, bounds = smallest(np.concatenate(minimizers), np.concatenate(bodies), np.concatenate(([0], np.cumsum(length))), np.concatenate(lows), width)
-        # one value where all strings of a stretch agree
-        firsts = bounds[:-1]
-        same = np.minimum.reduceat(low, firsts) == np.maximum.reduceat(low, firsts)
+        gone, bounds = repeated(np.concatenate(minimizers), np.concatenate(bodies), np.concatenate(([0], np.cumsum(length))), np.concatenate(lows), width)
+        # one bit where all strings of a stretch agree
+        strings, hits = np.diff(bounds), sums(gone, bounds)
+        whole, mixed = hits == strings, (hits > 0) & (hits < strings)
         edges, out = np.cumsum([0, *n]), []
         for i, j in zip(edges[:-1], edges[1:]):
-            k = np.where(same[i:j], 1, np.diff(bounds[i : j + 1]))
-            out.append(np.packbits(same[i:j]).tobytes() + low[ragged(firsts[i:j], k)].tobytes())
+            own = np.flatnonzero(mixed[i:j]) + i
+            out.append(b"".join(np.packbits(x).tobytes() for x in (whole[i:j], mixed[i:j], gone[ragged(bounds[:-1][own], strings[own])])))
+        del bodies, gone
+        trim()
         return pa.table({"part": table.column("part"), "b": table.column("b"), "blob": pa.array(out, pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return empty
         bits = answers.filter(pa.array(np.asarray(answers.column("kind").to_pylist()) == 1)) if answers.num_rows else answers
-        lows = answers.filter(pa.array(np.asarray(answers.column("kind").to_pylist()) == 2)) if answers.num_rows else answers
+        told = answers.filter(pa.array(np.asarray(answers.column("kind").to_pylist()) == 2)) if answers.num_rows else answers
         own = Bucket(table, width, parts)
-        run, group, runs, part, _ = own.requests(own.shared(_answers(bits)))
-        told = _answers(lows)
-        per_group, bounds = [], np.concatenate(([0], np.cumsum(own.count[runs])))
-        for p, blob in _blobs(part, lambda lo, hi: (lo, hi)):
-            lo, hi = blob
-            size = (hi - lo + 7) // 8
-            same = np.unpackbits(np.frombuffer(told[p], np.uint8, size), count=hi - lo).astype(bool)
-            values = np.frombuffer(told[p][size:], np.int64)
+        run, group, runs, part, lows = own.requests(own.shared(_answers(bits)))
+        told, masks = _answers(told), []
+        for p, (lo, hi) in _blobs(part, lambda lo, hi: (lo, hi)):
+            size, blob = (hi - lo + 7) // 8, np.frombuffer(told[p], np.uint8)
+            whole, mixed = (np.unpackbits(blob[k * size : (k + 1) * size], count=hi - lo).astype(bool) for k in (0, 1))
             count = own.count[runs[lo:hi]]
-            k = np.where(same, 1, count)
-            at = np.repeat(np.cumsum(k) - k, count)
-            step = ragged(np.zeros(hi - lo, np.int64), count)
-            per_group.append(values[at + np.where(np.repeat(same, count), 0, step)])
-        low = np.concatenate(per_group) if per_group else np.zeros(0, np.int64)
-        count = own.count[run]
-        earlier = low[ragged(bounds[:-1][group], count)] < np.repeat(own.ids[own.text[run]], count)
+            mask = np.repeat(whole, count)
+            mask[np.repeat(mixed, count)] = np.unpackbits(blob[2 * size :], count=int(count[mixed].sum()))
+            masks.append(mask)
+        mask = np.concatenate(masks) if masks else np.zeros(0, bool)
+        bounds, count = np.concatenate(([0], np.cumsum(own.count[runs]))), own.count[run]
+        # a copy of the whole stretch in the bucket itself counts as well
+        earlier = mask[ragged(bounds[:-1][group], count)] | np.repeat(own.ids[own.text[run]] > lows[group], count)
         at = ragged(own.start[run], count)[earlier]
         begun = np.concatenate((np.zeros(width, np.int64), np.cumsum(np.bincount(at, minlength=len(own.data)))))
         removed = begun[width:] > begun[:-width]
-        return output(own.table, own.data, own.offsets, removed)
+        out = output(own.table, own.data, own.offsets, removed)
+        del own, earlier, begun, removed
+        trim()
+        return out
 
     empty = _empty(schema, spark)
     asked = texts.groupBy("b").applyInArrow(ask, BLOBS)
@@ -380,7 +422,6 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     A document of which nothing is left goes. Other columns pass through, packed into one so that names can't clash.
     """
     names = docs.columns
-    kind = docs.schema.simpleString()
 
     def output(table: pa.Table, data: np.ndarray, offsets: np.ndarray, removed: np.ndarray) -> pa.Table:
         # a character is kept whole if any byte of it is
@@ -390,9 +431,14 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
             removed = np.repeat(whole, np.diff(head, append=len(data)))
         gone, _ = spans(removed, offsets)
         kept = [data[a:b][~removed[a:b]].tobytes().decode() if g else None for a, b, g in zip(offsets[:-1].tolist(), offsets[1:].tolist(), gone.tolist())]
-        return pa.table({"row": table.column("row"), "edited": pa.array(kept, pa.string())})
-
-    packed = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"))
-    out = marked(packed, output, f"row {kind}, edited string", width).filter("edited is null or edited <> ''")
-    changed = {"text": F.coalesce("edited", "row.text")} | ({"n_chars": F.when(F.col("edited").isNull(), F.col("row.n_chars")).otherwise(F.length("edited")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+        text = table.column("text")
+        if gone.any():
+            text = pc.if_else(pa.array(gone > 0), pa.array(kept, text.type), text)
+        stays = pa.array((gone == 0) | (np.diff(offsets) > gone))
+        return pa.table({"row": table.column("row"), "kept": text, "edited": pa.array(gone > 0)}).filter(stays)
+
+    others = [c for c in names if c != "text"]
+    packed = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in others]).alias("row"))
+    out = marked(packed, output, f"row {packed.schema['row'].dataType.simpleString()}, kept string, edited boolean", width)
+    changed = {"text": F.col("kept")} | ({"n_chars": F.when(F.col("edited"), F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return out.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in names])

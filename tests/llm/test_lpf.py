@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 
-from siftwell.llm.lpf import previous_and_next_smaller, removal_report, without_repeats
+from siftwell.llm.buffers import words64
+from siftwell.llm.lpf import common_prefixes, longest_previous_factors, previous_smaller, removal_report, without_repeats
 
 WIDTH = 50
 
@@ -68,6 +69,35 @@ def test_empty(spark):
     assert removal_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def factors(values, lcp):
+    """Of every suffix with every other."""
+    n = len(values)
+    shared = lambda i, j: min(lcp[min(i, j) + 1 : max(i, j) + 1])
+    return [max((shared(i, j) for j in range(n) if values[j] < values[i]), default=0) for i in range(n)]
+
+
+def test_factors_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for n, docs in ((1, 1), (2, 2), (60, 5), (200, 300)):
+        for _ in range(5):
+            values, lcp = rng.integers(0, docs, n), rng.integers(0, 9, n)
+            lcp[0] = 0
+            assert longest_previous_factors(values, lcp).tolist() == factors(values, lcp)
+            capped = [f if f >= 5 else 0 for f in factors(values, lcp)]
+            assert longest_previous_factors(values, lcp, 5).tolist() == capped
+
+
 def test_neighbours():
-    before, after = previous_and_next_smaller(np.array([3, 1, 2, 2, 0]))
-    assert before.tolist() == [-1, -1, 1, 1, -1] and after.tolist() == [1, 4, 4, 4, -1]
+    at, low = previous_smaller(np.array([3, 1, 2, 2, 0, 5]), np.array([0, 4, 7, 6, 8, 3]))
+    assert at.tolist() == [-1, -1, 1, 1, -1, 4] and low.tolist() == [0, 0, 7, 6, 0, 3]
+    chain = np.append(np.arange(1000), -1)  # pointers of the last one would be followed one by one
+    at, low = previous_smaller(chain, np.full(1001, 5))
+    assert at.tolist() == [-1, *range(999), -1] and set(low[1:-1]) == {5}
+
+
+def test_common_prefixes():
+    texts = sorted([b"a" * 50, b"a" * 49 + b"b", b"a" * 17 + b"z" * 33, b"b" * 50, b"b" * 50, b"b" * 41 + b"\xff" * 9])
+    data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    words = [words64(data)[np.arange(6) * 50 + min(d, 42)].byteswap() for d in range(0, 50, 8)]
+    want = [0] + [next((i for i in range(50) if a[i] != b[i]), 50) for a, b in zip(texts, texts[1:])]
+    assert common_prefixes(words, 50).tolist() == want
