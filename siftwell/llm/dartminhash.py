@@ -16,7 +16,8 @@ signatures are one node throughout. Classes are the connected components.
 
 Cases: texts without a word (null, empty, marks alone) have no signature; each is a class of its own with 0 links, as are
 texts of a single word unless that is equal. Ties between documents go to the smaller doc_id (null first), then to the
-row that was read first. Repeated rows are separate members of a class. Very long texts are taken whole.
+row that was read first. Repeated rows are separate members of a class. Very long texts are taken whole. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from siftwell.llm.buffers import M1, M2, M3, mix, padded, portions, ragged, runs
 from siftwell.session import cut, ship, stored
 
 COORDINATES, ROWS, THRESHOLD = 125, 5, 0.55
-CHUNK, TEXTS = 3_000_000, 1 << 16  # of bytes and texts at once
+CHUNK, TEXTS = 1_000_000, 1 << 16  # of bytes and texts at once
 BLOCK, PAIRS = 2048, 1 << 15  # members of a part of a bucket, pairs compared at once
 S16, S48 = np.uint64(16), np.uint64(48)
 
@@ -274,16 +275,19 @@ def classes(docs: DataFrame, t: int = COORDINATES, rows: int = ROWS, threshold:
 
 
 def first_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document of each class left: that of the smallest doc_id. Columns and other rows as they are."""
+    """``docs`` with one document of each class left: that of the smallest doc_id. Columns and other rows as they are.
+
+    Of rows that repeat doc_id and text one stays. Rows travel in one struct, so no column name can clash.
+    """
     judged = classes(docs, **parameters)
     kept = judged.filter("keep").select("doc_id", "th")
     gone = cut(judged.filter("not keep").select("doc_id", "th").subtract(kept))
-    own = F.struct(F.xxhash64("text").alias("th"), F.col("doc_id").alias("id"))
-    out = docs.join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_th")), "left_anti")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("th"))
+    out = rows.join(gone.toDF("gone_id", "gone_th"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
     # rows repeated with the same doc_id and text: one of them stays
     twice = judged.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max("keep").alias("k")).filter("n > 1 and k")
-    twice = cut(twice.select(F.struct("th", F.col("doc_id").alias("id")).alias("_twice")))
-    if twice.isEmpty():
-        return out
-    marked = out.withColumn("_own", own).join(twice.withColumn("_is", F.lit(True)), F.col("_own") == F.col("_twice"), "left")
-    return marked.filter("_is is null").select(*docs.columns).unionByName(marked.filter("_is").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    twice = cut(twice.select(F.col("doc_id").alias("twice_id"), F.col("th").alias("twice_th"), F.lit(True).alias("is")))
+    if not twice.isEmpty():
+        marked = out.join(twice, F.col("id").eqNullSafe(F.col("twice_id")) & (F.col("th") == F.col("twice_th")), "left")
+        out = marked.filter("is is null").select("row", "id", "th").unionByName(marked.filter("is").select("row", "id", "th").dropDuplicates(["id", "th"]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
