@@ -2,7 +2,11 @@
 
 Texts are cut into pre-tokens by array operations on their bytes, every distinct pre-token is encoded once and kept
 in a table, and ids are gathered from there. A text that holds an apostrophe (contractions) goes to the same
-vocabulary's regular-expression encoder, one with characters beyond U+024F or unusual spaces to the tokenizer library.
+vocabulary's regular-expression encoder, one with characters beyond U+024F or unusual spaces to the tokenizer library,
+and so does one that holds the string of an added token: ids are those of ``Tokenizer.from_file(path)`` as it is, for
+which that string is one token. With ``plain_specials`` such strings are ordinary text instead.
+
+A batch of more distinct pre-tokens than the table holds is encoded without it.
 """
 
 from __future__ import annotations
@@ -12,10 +16,9 @@ from itertools import chain
 
 import numpy as np
 
-from siftwell.llm.buffers import SliceCache, padded, runs_of, slice_hash, sums, words64
+from siftwell.llm.buffers import SliceCache, held, padded, ragged, runs_of, slice_hash, sums, words64
 
 LETTER, NUMBER, SPACE, MARK = 1, 2, 3, 5
-_encoders: dict[str, "ByteBpe"] = {}
 CHUNK = 2_000_000
 
 
@@ -67,23 +70,38 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def occurrences(data: np.ndarray, token: bytes) -> np.ndarray:
+    """Positions at which ``token`` starts."""
+    n = len(data) - len(token) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(data[:n] == token[0])
+    for k in range(1, len(token)):
+        at = at[data[at + k] == token[k]]
+        if not len(at):
+            break
+    return at
+
+
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         of = byte_of_char()
-        self.path, self._library = path, None
-        self.special = {t["content"] for t in model.get("added_tokens", [])}
+        self.path, self.plain_specials, self._library = path, plain_specials, None
+        self.added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+        self.special = set(self.added)
         model = model["model"]
         ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int32)
-        for token, i in ranks.items():
+        self.n_bytes = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, np.int32)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in self.added.items())]:
             self.n_bytes[i] = len(token)
-        self.cache = SliceCache(22)
+        self.sought = [] if plain_specials else [t.encode() for t in self.special]
+        self.cache = SliceCache()
 
     @property
     def library(self):
@@ -91,7 +109,7 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-            self._library.encode_special_tokens = True
+            self._library.encode_special_tokens = self.plain_specials
         return self._library
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +126,11 @@ class ByteBpe:
         odd = ODD[data]
         odd[1:][(data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))] = 2
         at = np.flatnonzero(odd)
+        for token in self.sought:
+            found = occurrences(data, token)
+            if len(found):
+                odd[found] = 2
+                at = np.flatnonzero(odd)
         if not len(at):
             return self._usual(data, offsets)
         level = np.zeros(n, np.uint8)
@@ -140,20 +163,28 @@ class ByteBpe:
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             new, at = np.unique(h[missing], return_index=True)
-            if not self.cache.room(len(new)):
+            if not self.cache.room(len(new), int(lengths[missing[at]].sum())):  # a pre-token has no more ids than bytes
                 self.cache.clear()
                 missing = np.arange(len(h))
-                new, at = np.unique(h, return_index=True)
-            raw, one = data.tobytes(), self.plain._core_bpe.encode_single_piece
-            got = [one(raw[s : s + k]) for s, k in zip(starts[missing[at]].tolist(), lengths[missing[at]].tolist())]
-            k = np.fromiter(map(len, got), np.int32, len(got))
-            self.cache.add(new, k, np.fromiter(chain.from_iterable(got), np.int32, int(k.sum())))
+                new, at, nth = np.unique(h, return_index=True, return_inverse=True)
+                if not self.cache.room(len(new), int(lengths[at].sum())):
+                    k, ids = self._pieces(data, starts[at], lengths[at])
+                    n = k[nth]
+                    return ids[ragged((np.cumsum(k) - k)[nth], n)], sums(n, np.searchsorted(starts, offsets))
+            k, ids = self._pieces(data, starts[missing[at]], lengths[missing[at]])
+            self.cache.add(new, k, ids)
             entry = self.cache.find(h)
         k, ids = self.cache.values(entry)
         return ids, sums(k, np.searchsorted(starts, offsets))
 
 
-def encoder(path: str) -> ByteBpe:
-    if path not in _encoders:
-        _encoders[path] = ByteBpe(path)
-    return _encoders[path]
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each slice, ids of all one after another), each slice being one pre-token."""
+        raw, one = data.tobytes(), self.plain._core_bpe.encode_single_piece
+        got = [one(raw[s : s + k]) for s, k in zip(starts.tolist(), lengths.tolist())]
+        k = np.fromiter(map(len, got), np.int32, len(got))
+        return k, np.fromiter(chain.from_iterable(got), np.int32, int(k.sum()))
+
+
+def encoder(path: str, plain_specials: bool = False) -> ByteBpe:
+    return held(("bpe", path, plain_specials), lambda: ByteBpe(path, plain_specials))

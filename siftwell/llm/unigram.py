@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftwell.llm.buffers import SliceCache, padded, portions, ragged, runs_of, slice_hash, sums, words64
+from siftwell.llm.buffers import SliceCache, held, padded, portions, ragged, runs_of, slice_hash, sums, words64
 from siftwell.session import ship
 
 UNKNOWN_PENALTY, CHUNK, CELLS = 10.0, 2_000_000, 4_000_000
-_coders: dict[str, "Unigram"] = {}
 
 
 class DoubleArray:
@@ -109,7 +108,7 @@ class Unigram:
         self.n_bytes = np.array([len(t) for t in self.text], np.int64)
         self.starts = np.cumsum(self.n_bytes) - self.n_bytes
         self.joined = np.frombuffer(b"".join(self.text), np.uint8)
-        self.cache = SliceCache(21)
+        self.cache = SliceCache()
         self.is_byte = np.zeros(n, bool)
         self.is_byte[self.bytes_at] = True
 
@@ -219,11 +218,11 @@ class Unigram:
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             new, at = np.unique(h[missing], return_index=True)
-            if not self.cache.room(len(new)):
+            if not self.cache.room(len(new), int(lengths[missing[at]].sum())):  # a word has no more pieces than bytes
                 self.cache.clear()
                 missing = np.arange(len(h))
                 new, at, nth = np.unique(h, return_index=True, return_inverse=True)
-                if not self.cache.room(len(new)):
+                if not self.cache.room(len(new), int(lengths[at].sum())):
                     # a text of more distinct words than the table holds is encoded without it
                     n, ids = self.viterbi(data, starts[at], lengths[at])
                     return ids[ragged((np.cumsum(n) - n)[nth], n[nth])], sums(n[nth], np.searchsorted(starts, offsets))
@@ -250,9 +249,7 @@ class Unigram:
 
 
 def coder(path: str) -> Unigram:
-    if path not in _coders:
-        _coders[path] = Unigram(path)
-    return _coders[path]
+    return held(("unigram", path), lambda: Unigram(path))
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
