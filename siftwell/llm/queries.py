@@ -52,8 +52,9 @@ def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linefreq.stripped(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "source")
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
+    pages = table(spark, sf_dir, "pages").select("page_id", linefreq.host_of("url").alias("host"), linefreq.page_lines("html").alias("text"))
+    out = linefreq.stripped(pages, "host")
+    return out.select(F.col("row.page_id").alias("page_id"), F.col("row.host").alias("host"), "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
 
 
 def op7_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,22 +96,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id"""
 
 LINES = f"""
-WITH lines AS (
-    SELECT doc_id, source, l.line AS line, l.nth AS nth, trim(l.line, E' \\t\\r\\v\\f') AS core
-    FROM (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents WHERE text IS NOT NULL) d,
-        LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth) l
+WITH hosted AS (
+    SELECT row_number() OVER () AS r, page_id, lower(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+        regexp_replace(html, '{linefreq.BLOCK_TAG}', chr(10), 'gi') AS text FROM pages
+), lines AS (
+    SELECT r, page_id, host, l.line AS line, l.nth AS nth, trim(l.line, E' \\t\\r\\v\\f') AS core
+    FROM (FROM hosted WHERE text IS NOT NULL) d, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth) l
 ), totals AS (
-    SELECT source, count(*) AS pages FROM documents WHERE text IS NOT NULL GROUP BY source
+    SELECT host, count(*) AS pages FROM hosted WHERE text IS NOT NULL GROUP BY host
 ), common AS (
-    SELECT l.source, l.core FROM (SELECT DISTINCT doc_id, source, core FROM lines WHERE core <> '') l JOIN totals t ON l.source = t.source
-    GROUP BY l.source, l.core, t.pages HAVING t.pages >= {linefreq.LEAST_PAGES} AND count(*) > CAST({linefreq.RATIO} AS DOUBLE) * t.pages
+    SELECT l.host, l.core FROM (SELECT DISTINCT r, host, core FROM lines WHERE core <> '') l JOIN totals t ON l.host = t.host
+    GROUP BY l.host, l.core, t.pages HAVING count(*) >= {linefreq.LEAST_HOLDERS} AND count(*) > CAST({linefreq.RATIO} AS DOUBLE) * t.pages
 ), judged AS (
-    SELECT l.*, c.core IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.source = c.source AND l.core = c.core
+    SELECT l.*, c.core IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.host = c.host AND l.core = c.core
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+SELECT any_value(page_id) AS page_id, any_value(host) AS host, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '') AS kept_text
-FROM judged GROUP BY doc_id
-UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
+FROM judged GROUP BY r
+UNION ALL SELECT page_id, host, 0, 0, NULL FROM hosted WHERE text IS NULL"""
 
 PRODUCTS = f"""
 WITH whole AS (

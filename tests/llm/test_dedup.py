@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from siftwell.llm.buffers import text_bytes
 from siftwell.llm.dartminhash import classes, components, elements, first_of_each, signatures
-from siftwell.llm.linefreq import host_of, stripped, without_boilerplate
+from siftwell.llm.linefreq import host_of, page_lines, stripped, without_boilerplate
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,20 +102,35 @@ def test_lines_by_site(spark):
     rows = [(i, f"menu\n  own {i}\n\nmenu \t\nfoot" if i % 4 else f"own {i}\nmenu", "en", "a" if i < 40 else "b", 9) for i in range(50)]
     rows += [(100, None, "en", "a", None), (101, "", "en", "a", 0), (102, "menu", "en", None, 4), (103, "menu\nfoot", "en", "a", 9)]
     df = spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "site")
-    got = {r.doc_id: r for r in without_boilerplate(df, "source", ratio=0.5, least_pages=20).collect()}
-    assert got[1].text == "  own 1\n" and got[1].n_chars == 8 and got[0].text == "own 0" and got[45].text == rows[45][1] and got[45].n_chars == 9
+    got = {r.doc_id: r for r in without_boilerplate(df, "source", ratio=0.5).collect()}
+    assert got[1].text == "  own 1\n" and got[1].n_chars == 8 and got[0].text == "own 0" and got[45].text == "  own 45\n" and got[45].n_chars == 9
     assert got[100].text is None and got[101].text == "" and got[102].text == "menu" and got[103].text == "" and got[1].site == "en"
     from siftwell.llm import linefreq
 
     old, linefreq.BROADCAST_BYTES = linefreq.BROADCAST_BYTES, 0
     try:
-        again = {r["row"].doc_id: r.kept for r in stripped(df, "source", ratio=0.5, least_pages=20).collect()}
+        again = {r["row"].doc_id: r.kept for r in stripped(df, "source", ratio=0.5).collect()}
     finally:
         linefreq.BROADCAST_BYTES = old
     assert again == {i: r.text for i, r in got.items()}
     assert without_boilerplate(df.limit(0), "source").count() == 0
 
 
+def test_small_sites_and_repeated_rows(spark):
+    rows = [(i, f"top\nown {i}", "en", "small", 9) for i in range(4)] + [(4, "top\nown 1", "en", "two", 9), (5, "top\nown 2", "en", "two", 9)] + [(6, "twin\nx", "en", "rep", 6)] * 3
+    df = spark.createDataFrame(rows, DOCS)
+    got = Counter((r.doc_id, r.text) for r in without_boilerplate(df, "source", ratio=0.5).collect())
+    assert got == Counter({**{(i, f"own {i}"): 1 for i in range(4)}, (4, "top\nown 1"): 1, (5, "top\nown 2"): 1, (6, ""): 3})
+    by_ratio = {r.doc_id: r.text for r in without_boilerplate(df, "source", ratio=0.5, least_holders=1).collect()}
+    assert by_ratio[4] == "own 1" and by_ratio[5] == "own 2"
+
+
+def test_page_lines(spark):
+    html = "<!DOCTYPE html><HTML lang='x'><p>One <b>two</b><br/>three</P><div class=\"a\">four\nfive</div><pre>six</pre><param>"
+    got = spark.createDataFrame([(html,), (None,)], "h string").select(page_lines("h")).collect()
+    assert [line for line in got[0][0].split("\n") if line] == ["<!DOCTYPE html>", "One <b>two</b>", "three", "four", "five", "six", "<param>"] and got[1][0] is None
+
+
 def test_host(spark):
     urls = ["http://A.example.com:80/x?y", "https://u:p@b.org", "nothing", None]
     assert [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host_of("u")).collect()] == ["a.example.com", "b.org", None, None]
