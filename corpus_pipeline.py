@@ -15,7 +15,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linefreq.without_boilerplate(docs, "source", least_pages=1, least_holders=3)
+    return linefreq.without_boilerplate(docs, "source")  # the site of a document, which has no URL
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
