@@ -4,14 +4,16 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from siftwell.llm.attribution import attribute, section_tokens
-from siftwell.llm.bpe import encoder
+from siftwell.llm.bpe import ByteBpe, byte_of_char, encoder
 from siftwell.llm.buffers import SliceCache, ragged, text_bytes
 from siftwell.llm.packing import pack, walk
 from siftwell.llm.unigram import coder, decoded, encoded
 
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+LIBRARY = Tokenizer.from_file(BPE)  # as it is
 ODD = ["it's a test 's", "\n's x", "  a  b \n\n c\t\td  ", "", "   ", " ", "×÷ 3²", "日本 語 kanji’s ▁x ▁", " x 'll \x1c y", "<|endoftext|> a", "a\r\n b", "…—é É ñ", "1 2  33 \n", "a" * 500, "🤦🏼‍♂️ ok"]
 
 
@@ -22,10 +24,22 @@ def texts():
 
 
 def test_bpe_equals_library():
-    e = encoder(BPE)
-    ids, counts = e.encode(*text_bytes(pa.array(texts())))
-    for t, own in zip(texts(), np.split(ids, np.cumsum(counts)[:-1])):
-        assert own.tolist() == e.library.encode(t, add_special_tokens=False).ids
+    library = Tokenizer.from_file(BPE)  # as it is
+    for plain in (False, True):
+        library.encode_special_tokens = plain
+        e = encoder(BPE, plain)
+        ids, counts = e.encode(*text_bytes(pa.array(texts())))
+        for t, own in zip(texts(), np.split(ids, np.cumsum(counts)[:-1])):
+            assert own.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert (50256 in ids) != plain
+
+
+def test_more_distinct_pretokens_than_the_table_holds():
+    text = " ".join(f"{i:x}q" for i in range(600_000))
+    e = ByteBpe(BPE)
+    ids, counts = e.encode(*text_bytes(pa.array([text, "a b", text[:100]])))
+    plain = e.plain.encode_to_numpy(text, disallowed_special=())
+    assert counts[0] == len(plain) and (ids[: counts[0]] == plain).all()
 
 
 def test_slice_cache_collisions():
@@ -38,23 +52,61 @@ def test_slice_cache_collisions():
 
 def test_attribution_rules():
     tokens, sections = np.array([0, 2, 7, 8, 12]), np.array([0, 4, 8, 9, 12])
-    assert attribute(tokens, sections, "first").tolist() == [2, 1, 1, 0]
-    assert attribute(tokens, sections, "majority").tolist() == [1, 2, 0, 1]  # 2-7: 2 and 3 bytes; 8-12: 1 and 3
-    assert attribute(np.array([0, 4]), np.array([0, 2, 4]), "majority").tolist() == [1, 0]  # a tie goes to the earlier
-
-
-def test_section_tokens(spark):
-    rows = [(i, t) for i, t in enumerate(texts())] + [(900, None), (900, "a\nb")]
-    got = section_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BPE).collect()
-    e = encoder(BPE)
-    for i, t in rows:
-        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.section)
-        if i == 900:
-            continue
-        assert sum(r.n_tokens for r in own) == len(e.library.encode(t, add_special_tokens=False).ids)
-        assert len(own) == max(1, len(t.split("\n")) - t.endswith("\n")) and sum(r.n_bytes for r in own) == len(t.encode())
+    assert attribute(tokens[:-1], tokens[1:], sections, "first").tolist() == [2, 1, 1, 0]
+    assert attribute(tokens[:-1], tokens[1:], sections, "majority").tolist() == [1, 2, 0, 1]  # 2-7: 2 and 3 characters; 8-12: 1 and 3
+    assert attribute(np.array([0]), np.array([4]), np.array([0, 2, 4]), "majority").tolist() == [1, 0]  # a tie goes to the earlier
+
+
+def sections_of(fields, rule):
+    """(field, section, start, characters, tokens, split) by loops over tokens and characters."""
+    text = "\n".join(fields)
+    of = byte_of_char()
+    spans, at = [], 0
+    owner = [i for i, c in enumerate(text) for _ in c.encode()]  # the character of each byte
+    for i in LIBRARY.encode(text, add_special_tokens=False).ids:
+        n = len(LIBRARY.id_to_token(i).encode() if i == 50256 else bytes(of[c] for c in LIBRARY.id_to_token(i)))
+        spans.append((owner[at], owner[at + n - 1] + 1, at))
+        at += n
+    starts = {0: 0}
+    for i, c in enumerate(text):
+        starts[i] = len(text[:i].encode())
+    out, place = [], 0
+    for f, t in enumerate(fields):
+        t += "\n" * (f + 1 < len(fields))
+        lines = [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] or not t else [])
+        begin = place
+        for k, line in enumerate(lines):
+            out.append([f, k, place - begin, len(line), 0, int(0 < place and len(line) > 0 and starts[place] not in {b for _, _, b in spans}), place])
+            place += len(line)
+    for a, b, _ in spans:
+        held = [len(range(max(a, s[6]), min(b, s[6] + s[3]))) for s in out]
+        out[held.index(max(held)) if rule == "majority" else next(i for i, h in enumerate(held) if h)][4] += 1
+    return [tuple(s[:6]) for s in out]
+
+
+@pytest.mark.parametrize("rule", ["majority", "first"])
+def test_section_tokens_equal_brute_force(spark, rule):
+    rows = [(i, t, f"title {i}\n\n" if i % 3 else None, "x") for i, t in enumerate([*texts(), "é\n\n\n\n\nb", "\n\n\n", "🤦\n🤦🏼", "a b\n" * 3000])] + [(900, None, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, title string, section string")
+    for fields in (["text"], ["title", "text"], ["text", "title"]):
+        got = {}
+        for r in section_tokens(docs, BPE, rule, fields).collect():
+            got.setdefault(r.doc_id, []).append((fields.index(r.field), *r[2:]))
+        for i, text, title, _ in rows:
+            own = [({"text": text, "title": title}[f] or "") for f in fields]
+            if len(own[0]) < 10_000:
+                assert sorted(got[i]) == sections_of(own, rule), (own, fields)
+            else:
+                assert sum(x[4] for x in got[i]) == len(LIBRARY.encode("\n".join(own), add_special_tokens=False).ids)
+
+
+def test_section_tokens_cases(spark):
+    docs = spark.createDataFrame([(None, "a\nb"), (1, "a\nb"), (1, "a\nb"), (2, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.section, r.n_chars) for r in section_tokens(docs, BPE).collect())
+    assert got == [("1", 0, 2), ("1", 0, 2), ("1", 1, 1), ("1", 1, 1), ("2", 0, 0), ("None", 0, 2), ("None", 1, 1)]
+    assert section_tokens(docs.limit(0), BPE).count() == 0
     with pytest.raises(ValueError):
-        section_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BPE, "none")
+        section_tokens(docs, BPE, "none")
 
 
 def best_path(u, text):
@@ -104,7 +156,6 @@ def test_unigram_of_more_words_than_the_table_holds():
 def test_packing_tiles_every_document(spark):
     rows = [(i, t) for i, t in enumerate(texts())] + [(900, None), (None, "x y"), (907, "again " * 3000), (907, "again " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    e = encoder(BPE)
     got = pack(docs, BPE, 256).collect()
     import zlib
     from collections import defaultdict
@@ -113,7 +164,7 @@ def test_packing_tiles_every_document(spark):
     for r in got:
         by_seq[r.sequence_id].append((r.offset, r.length))
         by_doc[r.doc_id].append(r)
-    assert sum(r.length for r in got) == sum(len(e.library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sum(r.length for r in got) == sum(len(LIBRARY.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
     short = 0
     for pieces in by_seq.values():
         at = 0
@@ -124,7 +175,7 @@ def test_packing_tiles_every_document(spark):
         short += at < 256
     assert short <= 1
     for i, t in rows:
-        ids = np.array([*e.library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        ids = np.array([*LIBRARY.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         for r in by_doc[i]:
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length])
     assert pack(docs.limit(0), BPE).count() == 0
