@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
+#: Rows go to Python in batches of at most this many bytes: 10,000 rows, Spark's own bound, say nothing of whole texts.
+BATCH_BYTES = 4_000_000
 _shipped: set[str] = set()
 
 
@@ -20,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, and bound the session's Arrow batches, unless it has its own bound."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -33,7 +38,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is named."""
+    """The cluster's shared folder (spark.checkpoint.dir); a folder of this machine only where none is named and Spark is local."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -41,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-shared-"))
     return context._jsc.sc().getCheckpointDir().get()
 
