@@ -32,7 +32,7 @@ from siftwell.llm.buffers import ragged
 from siftwell.llm.topk import BLOCK_VALUES, best_per_row, blocks, matrix, meet, usable, wide
 from siftwell.session import ship, stored
 
-PIVOTS, POSTS, PROBES, RERANK, LEAST, ROW_BLOCK, QUERY_BLOCK, CELLS = 2048, 32, 56, 0.12, 10, 16_384, 512, 1 << 20
+PIVOTS, POSTS, PROBES, RERANK, LEAST, ROW_BLOCK, QUERY_BLOCK, CELLS = 2048, 32, 56, 0.15, 10, 16_384, 512, 1 << 20
 
 
 def nearest_pivots(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra: np.ndarray, prefix: int) -> np.ndarray:
