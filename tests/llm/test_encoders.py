@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -34,6 +35,25 @@ def test_bpe_equals_library():
         assert (50256 in ids) != plain
 
 
+def test_long_words(spark):
+    """A million bytes without a space, and more distinct words than the table holds, in time in proportion to them."""
+    rng = np.random.default_rng(6)
+    odd = "".join(rng.choice(list("abcdefghij.é日"), 700_000))
+    many = " ".join(f"{i:x}" for i in range(620_000))
+    u = coder(PIECES)
+    texts = [odd, many, "a" * 300_000, odd[:3000]]
+    data, offsets = text_bytes(pa.array(texts))
+    began = time.time()
+    ids, counts = u.encode(data, offsets)
+    assert time.time() - began < 60
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    raw, places = u.decode(ids, bounds)
+    assert raw.tobytes() == data.tobytes() and places.tolist() == offsets.tolist()
+    assert ids[bounds[3] :].tolist() == best_path(u, odd[:3000])
+    empty = spark.createDataFrame([], "doc_id long, text string, pieces string")
+    assert encoded(empty, PIECES).count() == 0
+
+
 def test_more_distinct_pretokens_than_the_table_holds():
     text = " ".join(f"{i:x}q" for i in range(600_000))
     e = ByteBpe(BPE)
