@@ -25,7 +25,7 @@ def fold(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Folded runs of letters and digits, in order."""
-    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def camel_split(c: Column) -> Column:
@@ -72,18 +72,31 @@ def levenshtein_bounded(a: Column, b: Column, most: int) -> Column:
 
 
 def fuzzy_score(query: str, candidate: Column, least: float = 0.55) -> Column:
-    """1 for equal normal forms, .95 for a prefix, .85 for a part, else 1 - distance / longer length; 0 below ``least``."""
-    q = normalize_identifier(F.lit(query))
-    c = normalize_identifier(candidate)
-    longer = F.greatest(F.length(q), F.length(c))
-    bound = F.floor((1 - least) * longer + 1e-12)
-    distance = F.levenshtein(q, c)
+    """The score of a candidate's name; see ``fuzzy_ladder``, which takes normal forms."""
+    return F.transform(F.array(normalize_identifier(candidate)), lambda c: fuzzy_ladder(query, c, least))[0]
+
+
+def fuzzy_ladder(query: str, c: Column, least: float = 0.55) -> Column:
+    """1 for equal normal forms, .95 for a prefix, .85 for a part, else 1 - distance / longer length; 0 below ``least``.
+
+    ``c`` is a candidate's normal form, a column, as each branch reads it. Distances are computed up to the bound alone.
+    """
+    q = normal_query(query)
+    longer = F.greatest(F.lit(len(q)), F.length(c))
+    bound = F.floor((1 - least) * longer + 1e-12).cast("int")
+    distance = F.call_function("levenshtein", F.lit(q), c, bound)
     # lengths alone rule most names out before a distance is computed
-    near = F.when(F.abs(F.length(q) - F.length(c)) > bound, 0.0).when(distance <= bound, 1 - distance / longer).otherwise(0.0)
-    ladder = F.when((q == "") | (c == ""), 0.0).when(q == c, 1.0).when(F.startswith(c, q), 0.95).when(F.contains(c, q), 0.85).otherwise(near)
+    near = F.when(F.abs(len(q) - F.length(c)) > bound, 0.0).when(distance >= 0, 1 - distance / longer).otherwise(0.0)
+    ladder = F.when(F.lit(q == "") | (c == ""), 0.0).when(c == q, 1.0).when(F.startswith(c, F.lit(q)), 0.95).when(F.contains(c, F.lit(q)), 0.85).otherwise(near)
     return F.coalesce(ladder, F.lit(0.0)).cast("double")
 
 
+def normal_query(query: str) -> str:
+    """``normalize_identifier`` of a query, on the driver."""
+    parts = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([0-9a-z])([A-Z])", r"\1 \2", query.strip(" ")))
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", parts.translate(str.maketrans("_-.", "   "))).strip(" ").lower()
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 

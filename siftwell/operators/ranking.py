@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import clip, fuzzy_score
+from siftwell.functions.text import clip, fuzzy_ladder, normalize_identifier
 
 CHANNELS = {c: i for i, c in enumerate("exact_qualified exact_short path identifier bm25 fuzzy_symbol".split())}
 BONUS = {"exact_qualified": 1.0, "exact_short": 0.96, "path": 0.86, "identifier": 0.76, "bm25": 0.66, "fuzzy_symbol": 0.36}
@@ -34,9 +34,12 @@ def fuzzy(symbols: DataFrame, query: str, top_k: int, least: float = 0.55, most_
         raise ValueError("a fuzzy query has at most 256 characters")
     if most_candidates is not None and symbols.limit(most_candidates + 1).count() > most_candidates:
         raise OverflowError(f"more than {most_candidates} candidates")
-    bounded = lambda c: F.when(F.length(c) <= 512, F.col(c)).otherwise("")
-    score = F.greatest(fuzzy_score(query, bounded("name"), least), fuzzy_score(query, bounded("qualified_name"), least))
-    return symbols.withColumn("score", score).filter(F.col("score") >= least).orderBy(F.desc("score"), F.length("qualified_name"), "path", "qualified_name", "start_line", "id").limit(top_k)
+    bounded = lambda c: normalize_identifier(F.when(F.length(c) <= 512, F.col(c)).otherwise(""))
+    # normal forms are columns, computed once; in one struct they can't clash
+    normal = symbols.select(F.struct(*[symbols[f"`{c}`"] for c in symbols.columns]).alias("row"), bounded("name").alias("a"), bounded("qualified_name").alias("b"))
+    scored = normal.select("row", F.greatest(fuzzy_ladder(query, F.col("a"), least), fuzzy_ladder(query, F.col("b"), least)).alias("s")).filter(F.col("s") >= least)
+    out = scored.select(*[F.col("row").getField(c).alias(c) for c in symbols.columns if c != "score"], F.col("s").alias("score"))
+    return out.orderBy(F.desc("score"), F.length("qualified_name"), "path", "qualified_name", "start_line", "id").limit(top_k)
 
 
 def wanted_kind(query_words: set[str], kind: Column) -> Column:
@@ -50,20 +53,19 @@ def numbered(rows: DataFrame, order: list, limit: int, alias: str = "channel_ran
     return rows.orderBy(*order).limit(limit).withColumn(alias, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def merge_channels(channels: DataFrame, result_limit: int, most_identities: int = 500, bonus: dict[str, float] = BONUS) -> DataFrame:
+def merge_channels(channels: DataFrame, result_limit: int, most_identities: int | None = 500, bonus: dict[str, float] = BONUS) -> DataFrame:
     """(identity, path, start_line, end_line, id, best_channel, score) of rows (channel, channel_rank, quality, identity, path, ...).
 
     Evidence is bonus * clip(quality / rank); a channel's best counts; the score is the greatest evidence and a twentieth
     of the others, at most 1. Base attributes are those of the row that came first, and identities after the first
-    ``most_identities`` are left out, as the order of insertion has them.
+    ``most_identities`` are left out, as the order of insertion has them; with None all stay.
     """
     number = F.element_at(F.create_map(*[x for c, n in CHANNELS.items() for x in (F.lit(c), F.lit(n))]), F.col("channel"))
     weight = F.element_at(F.create_map(*[x for c, w in bonus.items() for x in (F.lit(c), F.lit(w))]), F.col("channel"))
     rows = channels.withColumns({"channel_no": number, "evidence": weight * clip(F.col("quality") / F.col("channel_rank"), 0.0, 1.0)})
     per = rows.groupBy("identity", "channel_no").agg(F.max("evidence").alias("e"), F.min(F.struct("channel_rank", "path", "start_line", "end_line", "id")).alias("base"))
     merged = per.groupBy("identity").agg(F.min("channel_no").alias("best_channel"), F.max("e").alias("m"), F.sum("e").alias("s"), F.min(F.struct("channel_no", "base")).alias("first"))
-    seen = F.row_number().over(Window.orderBy("first.channel_no", "first.base.channel_rank", "identity"))
-    out = merged.withColumn("seen", seen).filter(F.col("seen") <= most_identities)
+    out = merged.orderBy("first.channel_no", "first.base.channel_rank", "identity").limit(most_identities) if most_identities is not None else merged
     out = out.select("identity", "first.base.path", "first.base.start_line", "first.base.end_line", "first.base.id", F.col("best_channel").cast("long").alias("best_channel"), F.least(F.lit(1.0), F.col("m") + 0.05 * (F.col("s") - F.col("m"))).alias("score"))
     return out.orderBy("best_channel", F.desc("score"), "path", "start_line", "end_line", "id").limit(result_limit)
 

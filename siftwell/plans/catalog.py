@@ -194,8 +194,10 @@ def lexical_channels(rows: DataFrame, text: str) -> DataFrame:
         out.append(hit.select(F.lit("path").alias("channel"), "channel_rank", F.lit(1.0).alias("quality"), *spot))
     with_terms = rows.withColumn("identifier_terms", F.array_join(T.identifier_terms(F.col("name"), F.col("qualified_name"), F.col("path")), " "))
     weights = {"name": 8.0, "qualified_name": 6.0, "identifier_terms": 4.0, "path": 2.0}
-    for channel, searched in (("identifier", ["identifier_terms"]), ("bm25", ["name", "qualified_name", "identifier_terms"] + (["path"] if T.is_path_like(q) else []))):
-        hit = P.bm25(with_terms, "id", weights, T.folded_query(q), searched).join(rows, "id").withColumn("s", F.round("bm25", 6))
+    searched = {"identifier": ["identifier_terms"], "bm25": ["name", "qualified_name", "identifier_terms"] + (["path"] if T.is_path_like(q) else [])}
+    scores = P.bm25_channels(with_terms, "id", weights, T.folded_query(q), searched).join(rows, "id")
+    for channel in searched:
+        hit = scores.filter(F.col(channel).isNotNull()).withColumn("s", F.round(channel, 6))
         hit = R.numbered(hit, [F.desc("s"), *spot], R.LIMITS[channel])
         out.append(hit.select(F.lit(channel).alias("channel"), "channel_rank", F.lit(1.0).alias("quality"), *spot))
     near = R.numbered(R.fuzzy(rows, q, R.LIMITS["fuzzy_symbol"]), [F.desc("score"), F.length("qualified_name"), "path", "qualified_name", "start_line", "id"], R.LIMITS["fuzzy_symbol"])
@@ -232,7 +234,6 @@ SELECT 'symbol:' || id AS identity, path, CAST(best_channel AS BIGINT) AS best_c
 ORDER BY best_channel, score DESC, path, start_line, end_line, id LIMIT 100""")
 def lexical_merge(s, d):
     rows = syms(s, d)
-    # one scan feeds every channel
     merged = R.merge_channels(lexical_channels(rows, "small_ring"), 500)
     return merged.withColumn("score", F.round("score", 6)).orderBy("best_channel", F.desc("score"), "path", "start_line", "end_line", "id").limit(100).select("identity", "path", "best_channel", "score")
 
