@@ -6,12 +6,14 @@ import os
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell import schema as S
 from siftwell.functions import text as T
+from siftwell.functions.embedding import Embedder, HashEmbedder, identity
 from siftwell.operators import graph as G
 from siftwell.operators import maintenance as M
 from siftwell.operators import postings as P
@@ -25,6 +27,56 @@ from siftwell.sources import extract, repository
 FIELD_WEIGHTS = {"name": 8.0, "qualified_name": 6.0, "identifier_terms": 4.0, "path": 2.0, "content": 1.0}
 
 
+class Event(NamedTuple):
+    """How far a stage of indexing has come."""
+
+    stage: str
+    current: int
+    total: int
+    message: str = ""
+
+
+class Throttle:
+    """Passes on a stage's first event and those that cross a tenth of it."""
+
+    def __init__(self, to: Callable[[Event], None]):
+        self.to, self.last = to, {}
+
+    def __call__(self, event: Event) -> None:
+        tenth = 10 * min(max(event.current, 0), event.total) // event.total if event.total > 0 else 0
+        if tenth > self.last.get(event.stage, -1):
+            self.last[event.stage] = tenth
+            self.to(event)
+
+
+class Incompatible(ValueError):
+    """The index holds another model's vectors."""
+
+
+class Candidates:
+    """The vectors of the indexes searched last, kept by Spark: at most ``most`` of them, and none beyond ``most_bytes``."""
+
+    def __init__(self, most: int = 4, most_bytes: int = 1 << 30):
+        self.most, self.most_bytes, self.held = most, most_bytes, {}
+
+    def get(self, key: tuple, rows: DataFrame, dimension: int) -> DataFrame:
+        if key in self.held:
+            self.held[key] = self.held.pop(key)  # the latest goes last
+            return self.held[key]
+        for stale in [k for k in self.held if k[0] == key[0]]:  # another version of the same index
+            self.held.pop(stale).unpersist()
+        if rows.count() * dimension * 8 > self.most_bytes:
+            return rows
+        while len(self.held) >= self.most:
+            self.held.pop(next(iter(self.held))).unpersist()
+        self.held[key] = rows.persist()
+        return self.held[key]
+
+    def clear(self) -> None:
+        while self.held:
+            self.held.popitem()[1].unpersist()
+
+
 @dataclass
 class Response:
     query: str
@@ -34,11 +86,25 @@ class Response:
     warnings: list[str] = field(default_factory=list)
     elapsed: float = 0.0
     config: str = ""
+    timings: dict[str, float] = field(default_factory=dict)
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, data_dir: str, settings: S.Settings | None = None, progress: Callable[[str], None] = lambda stage: None, check: Callable[[], None] = lambda: None):
+    def __init__(
+        self, spark: SparkSession, data_dir: str, settings: S.Settings | None = None, progress: Callable[[str], None] = lambda stage: None, check: Callable[[], None] = lambda: None,
+        embedder: Embedder | None = None, events: Callable[[Event], None] = lambda event: None, replaced: Callable[[str], None] = lambda root: None,
+    ):
+        """``progress`` is told each stage, ``events`` how far it is; ``check`` may raise to stop; ``replaced`` follows a new version."""
         self.spark, self.data_dir, self.settings, self.progress, self.check = spark, data_dir, settings or S.Settings(), progress, check
+        self.embedder = embedder or HashEmbedder(self.settings.dimension)
+        self.events, self.replaced, self.candidates = Throttle(events), replaced, Candidates()
+
+    def stage(self, name: str, current: int = 0, total: int = 0, message: str = "") -> None:
+        """A stage begins (current 0) or has come further; a caller that wants to stop says so here."""
+        if current == 0:
+            self.progress(name)
+        self.events(Event(name, current, total, message))
+        self.check()
 
     # --- index
 
@@ -52,7 +118,7 @@ class Engine:
         return M.Snapshots(self.spark, self.place(root))
 
     def embed(self, text):
-        return T.hashed_vector(text, self.settings.dimension)
+        return self.embedder.embed(text)
 
     def records(self, files: DataFrame, repo: str) -> tuple[dict[str, DataFrame], DataFrame]:
         """(tables of the files' own rows, (path, stage, message) of failures)."""
@@ -100,42 +166,64 @@ class Engine:
         )
         return found.select("id", "path", "status", "method"), own.unionByName(between)
 
-    def index(self, root: str) -> dict:
-        """Bring the index up to date: only files whose content changed are parsed, only unknown texts embedded."""
-        began = time.time()
-        real = os.path.realpath(os.path.expanduser(root))
-        snaps = self.snapshots(root)
-        settings = {"format": S.FORMAT, "dimension": self.settings.dimension, "root": real}
-        self.progress("walk")
+    def made(self, real: str, repo: str, old: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, int]:
+        """(tables of the index that follows ``old``, what changed, failures, texts embedded)."""
+        self.stage("walk")
         fresh = stored(repository.manifest(repository.files(self.spark, real)))
-        self.check()
-        usable = snaps.current() is not None and {k: snaps.note().get(k) for k in settings} == settings
-        old = {n: snaps.read(n) if usable else self.spark.createDataFrame([], ddl) for n, ddl in S.TABLES.items()}
-        self.progress("compare")
-        diff = stored(M.manifest_diff(old["files"], fresh.filter("error is null").select("path", "content_hash").unionByName(fresh.filter("error is not null").select("path", "content_hash"))))
-        import uuid
-
-        repo = snaps.note().get("repository") if usable else str(uuid.uuid4())
+        self.stage("compare")
+        diff = stored(M.manifest_diff(old["files"], fresh.select("path", "content_hash")))
         touched = fresh.join(diff.filter(F.col("change").isin("added", "changed")).select("path"), "path", "left_semi")
-        self.progress("parse")
+        total = touched.count()
+        self.stage("parse", 0, total)
         new, failed = self.records(touched, repo)
         failed = stored(failed)
-        new = {n: stored(df) for n, df in new.items()}
-        self.check()
+        for n in new:
+            new[n] = stored(new[n])
+            self.check()
+        self.stage("parse", total, total)
         done = M.without_failed(diff, failed.select("path").distinct())
-        self.progress("embed")
+        self.stage("embed")
         known = old["embeddings"].select("content_hash", "chunk_id", "vector")
         vectors = M.reuse_vectors(new["chunks"], known, self.embed)
-        embedded = vectors.filter("not reused").count()
-        new["embeddings"] = vectors.select(F.col("id").alias("chunk_id"), "path", "content_hash", "vector")
+        new["embeddings"] = stored(vectors.select(F.col("id").alias("chunk_id"), "path", "content_hash", "vector", "reused"))
+        embedded = new["embeddings"].filter("not reused").count()
+        new["embeddings"] = new["embeddings"].drop("reused")
+        self.stage("embed", embedded, embedded)
         tables = {n: stored(M.apply_updates(old[n].select(*new[n].columns), new[n], done)) for n in S.TABLES}
-        self.progress("graph")
+        self.stage("graph")
         # terms lie together, so that a query's filter skips most of the files
         tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term", "document")
+        tables["graph_nodes"] = G.root_node(tables["graph_nodes"], repo, os.path.basename(real))
         tables["graph_status"], tables["graph_edges"] = self.resolved(tables["graph_nodes"], tables["graph_facts"])
-        self.check()
-        self.progress("promote")
-        snaps.write(tables, settings | {"repository": repo, "timestamp": int(time.time())})
+        return tables, diff, failed, embedded
+
+    def empty(self) -> dict[str, DataFrame]:
+        return {n: self.spark.createDataFrame([], ddl) for n, ddl in S.TABLES.items()}
+
+    def in_memory(self, root: str) -> dict[str, DataFrame]:
+        """All tables of a repository's index, of which nothing is kept."""
+        import uuid
+
+        return self.made(os.path.realpath(os.path.expanduser(root)), str(uuid.uuid4()), self.empty())[0]
+
+    def index(self, root: str) -> dict:
+        """Bring the index up to date: only files whose content changed are parsed, only unknown texts embedded.
+
+        One writer at a time: a second one gets ``Busy``.
+        """
+        import uuid
+
+        began = time.time()
+        real = os.path.realpath(os.path.expanduser(root))
+        snaps = self.snapshots(root)
+        settings = {"format": S.FORMAT, "root": real} | identity(self.embedder)
+        with M.Lease(snaps):
+            usable = snaps.current() is not None and {k: snaps.note().get(k) for k in settings} == settings
+            repo = snaps.note().get("repository") if usable else str(uuid.uuid4())
+            tables, diff, failed, embedded = self.made(real, repo, {n: snaps.read(n) for n in S.TABLES} if usable else self.empty())
+            self.stage("promote")
+            snaps.write(tables, settings | {"repository": repo, "timestamp": int(time.time())})
+        self.replaced(real)
         changes = {r.change: r["n"] for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
         errors = [f"{r.path}: {r.stage}: {r.message}" for r in failed.orderBy("path").limit(20).collect()]
         return {"path": real, "changes": changes, "embedded": embedded, "errors": errors, "elapsed": time.time() - began} | self.counts(root)
@@ -146,14 +234,17 @@ class Engine:
         return {r.table_name: r["n"] for r in M.counts({n: snaps.read(n) for n in names}).collect()}
 
     def status(self, root: str) -> dict:
-        """missing, stale or ready, with counts and up to 20 changed paths. Nothing is parsed or embedded."""
+        """missing, indexing, stale or ready, with counts and up to 20 changed paths. Nothing is parsed or embedded."""
         snaps = self.snapshots(root)
+        if M.writing(snaps):
+            return {"status": "indexing"}
         if snaps.current() is None:
             return {"status": "missing"}
         note = snaps.note()
         diff = M.manifest_diff(snaps.read("files"), repository.manifest(repository.files(self.spark, root))).filter("change <> 'unchanged'")
         paths = [f"{r.change}: {r.path}" for r in diff.orderBy("path").limit(20).collect()]
-        same = note.get("format") == S.FORMAT and note.get("dimension") == self.settings.dimension
+        now = {"format": S.FORMAT} | identity(self.embedder)
+        same = {k: note.get(k) for k in now} == now
         facts = {r.status: r["n"] for r in snaps.read("graph_status").groupBy("status").agg(F.count("*").alias("n")).collect()}
         return {"status": "ready" if same and not paths else "stale", "changed": paths, "facts": facts, "timestamp": note.get("timestamp")} | self.counts(root)
 
@@ -202,11 +293,21 @@ class Engine:
             channels = channels.unionByName(x)
         return R.merge_channels(channels, limit), warnings
 
+    def vectors(self, snaps: M.Snapshots) -> DataFrame:
+        """(id, path, start_line, end_line, symbol_id, name, qualified_name, kind, vector) of every chunk, lazily."""
+        c = F.col
+        owner = snaps.read("symbols").select(c("id").alias("symbol_id"), T.symbol_name(c("name")).alias("name"), "qualified_name")
+        rows = snaps.read("embeddings").drop("path").join(snaps.read("chunks").drop("content_hash"), c("chunk_id") == c("id")).join(owner, "symbol_id", "left")
+        return rows.select("id", "path", c("start_line").cast("int").alias("start_line"), c("end_line").cast("int").alias("end_line"), "symbol_id", "name", "qualified_name", "kind", "vector")
+
     def semantic(self, snaps: M.Snapshots, query: str, path: str | None, limit: int) -> DataFrame:
-        vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first().v
+        note, own = snaps.note(), identity(self.embedder)
+        if {k: note.get(k) for k in own} != own:
+            raise Incompatible("the index holds vectors of another model; index the repository again")
+        vector = self.embedder.embed_query(self.spark, query)
         c = F.col
-        rows = snaps.read("embeddings").drop("path").join(snaps.read("chunks").drop("content_hash"), c("chunk_id") == c("id")).filter(T.under_path(c("path"), path))
-        hits = rows.select("path", c("start_line").cast("int").alias("start_line"), c("end_line").cast("int").alias("end_line"), "id", "symbol_id", c("kind").alias("unit"), V.scored(rows, V.unit(vector, self.settings.dimension), "vector").alias("raw"))
+        rows = self.candidates.get((snaps.root, snaps.current()), self.vectors(snaps), self.embedder.dimension).filter(T.under_path(c("path"), path))
+        hits = rows.select("path", "start_line", "end_line", "id", "symbol_id", c("kind").alias("unit"), V.scored(rows, V.unit(vector, self.embedder.dimension), "vector").alias("raw"))
         pool = R.numbered(hits, [F.desc("raw"), "path", "start_line", "end_line", "id"], 8 * limit, "source_rank")
         pool = pool.filter(R.wanted_kind(set(T.query_terms(query)), c("unit")))
         pool = pool.withColumn("identity", F.when(c("symbol_id").isNotNull(), F.concat(F.lit("symbol:"), "symbol_id")).otherwise(F.concat(F.lit("file:"), "path"))).withColumn("owned", c("symbol_id").isNotNull())
@@ -229,7 +330,9 @@ class Engine:
         symbols = snaps.read("symbols").filter(T.under_path(F.col("path"), path)) if snaps.current() else None
         if symbols is None:
             raise FileNotFoundError("this repository isn't indexed")
+        self.check()
         actual = route(symbols, query, self.settings.fuzzy_threshold, self.settings.most_fuzzy_candidates) if mode == "auto" else mode
+        timings = {"route": time.time() - began}
         warnings: list[str] = []
         ident = F.concat(F.lit("symbol:"), "id").alias("identity")
         if actual == "exact":
@@ -251,8 +354,11 @@ class Engine:
                 fused = R.reciprocal_rank_fusion(pools, R.weights_to_one(**self.settings.rrf_weights), self.settings.rrf_k, top_k if actual == "hybrid_rrf" else self.settings.graph_seeds)
             fused = fused.select(F.col("id").alias("identity"), "path", "score")
             ranked = self.expanded(snaps, fused, top_k) if actual == "graph" else R.numbered(fused, [F.desc("score"), "path", "identity"], top_k, "rank").select("rank", "identity", "score")
+        timings["plan"] = time.time() - began - timings["route"]
+        self.check()
         results, more = self.completed(snaps, ranked, path, max_snippet_chars or self.settings.snippet_chars)
-        return Response(query, mode, actual, results, warnings + more, time.time() - began, config_id(actual, self.settings.as_dict()))
+        timings["run"] = time.time() - began - sum(timings.values())
+        return Response(query, mode, actual, results, warnings + more, time.time() - began, config_id(actual, self.settings.as_dict()), timings)
 
     def expanded(self, snaps: M.Snapshots, seeds: DataFrame, top_k: int) -> DataFrame:
         nodes, c = snaps.read("graph_nodes"), F.col
@@ -267,7 +373,7 @@ class Engine:
     def completed(self, snaps: M.Snapshots, ranked: DataFrame, path: str | None, most: int) -> tuple[list[dict], list[str]]:
         """Ranked identities with their whole declaration or file, within the output budget: kept whole or left out."""
         c = F.col
-        s = snaps.read("symbols").select(F.concat(F.lit("symbol:"), "id").alias("identity"), "path", "name", "qualified_name", "kind", "start_line", "end_line", c("source_snippet").alias("snippet"))
+        s = snaps.read("symbols").select(F.concat(F.lit("symbol:"), "id").alias("identity"), "path", T.symbol_name(c("name")).alias("name"), "qualified_name", "kind", "start_line", "end_line", c("source_snippet").alias("snippet"))
         f = snaps.read("files").select(F.concat(F.lit("file:"), "path").alias("identity"), "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("qualified_name"), c("language").alias("kind"), F.lit(1).alias("start_line"), c("line_count").alias("end_line"), c("source_text").alias("snippet"))
         rows = ranked.join(s.unionByName(f), "identity").filter(T.under_path(c("path"), path))
         short, longer = T.snippet(c("snippet"), most)

@@ -177,6 +177,11 @@ def snippet(c: Column, most: int) -> tuple[Column, Column]:
     return F.substring(c, 1, most), F.length(c) > most
 
 
+def symbol_name(c: Column, most: int = 4096) -> Column:
+    """A name as results show it: its first 4,096 characters."""
+    return F.substring(c, 1, most)
+
+
 def evidence_text(c: Column) -> Column:
     return F.substring(F.btrim(F.regexp_replace(c, r"\s+", " ")), 1, 256)
 

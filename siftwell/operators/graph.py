@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import uuid5
+
 METHODS = [("same_scope_qualified", 1.0), ("explicitly_imported_symbol", 1.0), ("explicitly_imported_module", 1.0), ("same_module_symbol", 0.95), ("unique_repository_qualified_match", 0.9), ("unique_short_name_match", 0.7)]
 EDGE_WEIGHTS = {"calls": 0.9, "imports": 0.6, "inherits": 0.9, "references": 0.65, "depends_on": 0.55, "tests": 1.0}
 
@@ -42,6 +44,26 @@ def resolve(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select(*[facts[c] for c in facts.columns], F.when(f("b").isNull(), "unresolved").when(unique, "resolved").otherwise("ambiguous").alias("status"), F.when(unique, f("b.m")).alias("method"), F.when(unique, factor).alias("factor"), F.when(unique, f("b.low")).alias("target"))
 
 
+def listed_facts(facts: DataFrame) -> DataFrame:
+    return facts.orderBy("source_file", "start_line", "end_line", "kind", "id")
+
+
+def listed_edges(edges: DataFrame) -> DataFrame:
+    return edges.orderBy("source", "kind", "target", "source_file", "start_line", "id")
+
+
+def listed_nodes(nodes: DataFrame) -> DataFrame:
+    """By path, the repository's own node, which has none, first."""
+    return nodes.orderBy(F.asc_nulls_first("path"), "qualified_name", "kind", "id")
+
+
+def root_node(nodes: DataFrame, repository: str, name: str) -> DataFrame:
+    """``nodes`` with the node of the repository itself, which no file owns."""
+    spark = nodes.sparkSession
+    own = spark.range(1).select(uuid5(repository, F.lit(f"graph-node:repository:{name}:")).alias("id"), F.lit("repository").alias("kind"), F.lit(name).alias("qualified_name"), F.lit(name).alias("name"))
+    return nodes.filter(F.col("kind") != "repository").unionByName(own, allowMissingColumns=True)
+
+
 def dependencies(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source, target, confidence, fact): the strongest import between two files, ties to the earliest fact.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable
 
@@ -136,7 +135,68 @@ class Snapshots:
             stream.close()
 
 
-def available(spark: SparkSession, folder: str) -> list[str]:
-    """Folders below ``folder`` that hold a live index, without regard to case in their order."""
-    found = [d for d in sorted(os.listdir(folder)) if os.path.exists(os.path.join(folder, d, "CURRENT"))] if os.path.isdir(folder) else []
-    return sorted(found, key=lambda d: (d.casefold(), d))
+class Busy(RuntimeError):
+    """Another writer holds the lease."""
+
+
+class Lease:
+    """The one writer of an index: a file that only one can create. Readers need none, as versions never change.
+
+    A lease older than ``stale`` seconds by the folder's own clock is taken over; its writer is taken for lost.
+    """
+
+    def __init__(self, snapshots: Snapshots, stale: float = 6 * 3600):
+        self.snapshots, self.stale, self.held = snapshots, stale, False
+        self.at = snapshots.path(f"{snapshots.root}/WRITER")
+
+    def __enter__(self) -> Lease:
+        s = self.snapshots
+        s.fs.mkdirs(s.path(s.root))
+        if s.fs.exists(self.at):
+            probe = s.path(f"{s.root}/.clock-{uuid.uuid4().hex}")
+            s.fs.create(probe, True).close()
+            age = s.fs.getFileStatus(probe).getModificationTime() - s.fs.getFileStatus(self.at).getModificationTime()
+            s.fs.delete(probe, False)
+            if age <= 1000 * self.stale:
+                raise Busy(f"{s.root} is being written")
+            s.fs.delete(self.at, False)
+        try:
+            s.fs.create(self.at, False).close()
+        except Exception as error:
+            raise Busy(f"{s.root} is being written") from error
+        self.held = True
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.held:
+            self.snapshots.fs.delete(self.at, False)
+
+
+def writing(snapshots: Snapshots) -> bool:
+    return snapshots.fs.exists(snapshots.path(f"{snapshots.root}/WRITER"))
+
+
+def available(spark: SparkSession, folder: str) -> list[dict]:
+    """The newest live index of each repository in a folder, as (place, note); those being written are left out.
+
+    In the order of the repositories' names and paths, without regard to case.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    newest: dict[str, dict] = {}
+    for status in fs.listStatus(path(folder)) if fs.exists(path(folder)) else []:
+        snapshots = Snapshots(spark, f"{folder}/{status.getPath().getName()}")
+        if not status.isDirectory() or snapshots.current() is None or writing(snapshots):
+            continue
+        note = snapshots.note()
+        root, found = note.get("root", ""), {"place": snapshots.root, **note}
+        key = lambda n: (n.get("timestamp", 0), n.get("repository", ""))
+        if root not in newest or key(found) > key(newest[root]):
+            newest[root] = found
+    return [newest[r] for r in sorted(newest, key=lambda r: (r.rstrip("/").rsplit("/", 1)[-1].casefold(), r.casefold()))]
+
+
+def removed(snapshots: Snapshots) -> bool:
+    """Delete an index and all its versions; whether there was one."""
+    return snapshots.fs.delete(snapshots.path(snapshots.root), True)

@@ -25,7 +25,7 @@ DERIVED = {
 @dataclass(frozen=True)
 class Settings:
     fuzzy_threshold: float = 0.55
-    most_fuzzy_candidates: int = 512
+    most_fuzzy_candidates: int | None = 512
     rrf_k: int = 60
     pool: int = 20
     rrf_weights: dict = field(default_factory=lambda: {"lexical": 1.0, "semantic": 1.0})

@@ -105,8 +105,11 @@ def is_binary(sample: bytes) -> bool:
     return b"\0" in sample[:SNIFFED]
 
 
-def walk(root: str, skipped: set[str] = frozenset(), file_bytes: int = FILE_BYTES, most_files: int = MOST_FILES, most_entries: int = MOST_ENTRIES, check: Callable[[], None] = lambda: None) -> list[str]:
-    """Paths of the supported text files below ``root``, in order. Links aren't followed; exceeding a limit is an error."""
+def walk(root: str, skipped: set[str] = frozenset(), file_bytes: int | None = FILE_BYTES, most_files: int | None = MOST_FILES, most_entries: int | None = MOST_ENTRIES, check: Callable[[], None] = lambda: None) -> list[str]:
+    """Paths of the supported text files below ``root``, in order. Links aren't followed.
+
+    More files or entries than allowed are an error, larger files are left out; None takes a limit away.
+    """
     root = os.path.realpath(os.path.expanduser(root))
     if not os.path.exists(root):
         raise FileNotFoundError(root)
@@ -130,7 +133,7 @@ def walk(root: str, skipped: set[str] = frozenset(), file_bytes: int = FILE_BYTE
             for e in entries:
                 check()
                 seen += 1
-                if seen > most_entries:
+                if most_entries is not None and seen > most_entries:
                     raise ValueError(f"more than {most_entries} entries")
                 path = f"{at}/{e.name}" if at else e.name
                 if e.is_symlink() or e.name in names or path.split("/")[0] in SKIPPED_AT_ROOT:
@@ -140,12 +143,12 @@ def walk(root: str, skipped: set[str] = frozenset(), file_bytes: int = FILE_BYTE
                         below.append(path)
                 elif e.is_file(follow_symlinks=False) and os.path.splitext(e.name)[1].lower() in SUFFIXES and not is_ignored(path, False, rules):
                     try:
-                        if e.stat(follow_symlinks=False).st_size > file_bytes or is_binary(read_bounded(e.path, SNIFFED)[1]):
+                        if file_bytes is not None and e.stat(follow_symlinks=False).st_size > file_bytes or is_binary(read_bounded(e.path, SNIFFED)[1]):
                             continue
                     except OSError:
                         continue
                     found.append(path)
-                    if len(found) > most_files:
+                    if most_files is not None and len(found) > most_files:
                         raise ValueError(f"more than {most_files} files")
         todo.extend(sorted(below, reverse=True))
     return sorted(found)

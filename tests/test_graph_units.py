@@ -1,5 +1,6 @@
 """Graph expansion, fact resolution, spans, windows, sections and comments on literal inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import graph as G
@@ -87,4 +88,30 @@ def test_snapshots(spark, tmp_path):
     s.backup(str(tmp_path / "copy"))
     s.prune()
     assert s.read("t").count() == 5 and M.Snapshots(spark, str(tmp_path / "copy")).read("t").count() == 5
-    assert M.available(spark, str(tmp_path)) == ["copy", "index"]
+    for name, root, at in (("a", "/x/Beta", 1), ("b", "/x/Beta", 2), ("c", "/y/alpha", 1), ("d", "/y/gamma", 1)):
+        M.Snapshots(spark, str(tmp_path / "all" / name)).write({"t": spark.range(1)}, {"root": root, "timestamp": at})
+    with M.Lease(M.Snapshots(spark, str(tmp_path / "all" / "d"))):
+        assert [n["place"].rsplit("/", 1)[-1] for n in M.available(spark, str(tmp_path / "all"))] == ["c", "b"]  # the newest of each; d is being written
+    assert M.available(spark, str(tmp_path / "none")) == []
+    assert M.removed(s) and s.current() is None and not M.removed(s)
+
+
+def test_one_writer(spark, tmp_path):
+    s = M.Snapshots(spark, str(tmp_path / "index"))
+    with M.Lease(s):
+        assert M.writing(s)
+        with pytest.raises(M.Busy), M.Lease(s):
+            pass
+        assert M.writing(s)
+        with M.Lease(s, stale=-1):  # its writer is taken for lost
+            pass
+    assert not M.writing(s)
+
+
+def test_listings(spark):
+    edges = spark.createDataFrame([("b", "x", "calls", "f", 2, "1"), ("a", "x", "calls", "f", 9, "2"), ("a", "x", "calls", "e", 9, "3"), ("a", "w", "imports", "e", 1, "4")], "source string, target string, kind string, source_file string, start_line int, id string")
+    assert [r.id for r in G.listed_edges(edges).collect()] == ["3", "2", "4", "1"]
+    nodes = G.root_node(spark.createDataFrame([("b.py", "b", "module", "2"), ("a.py", "a", "module", "3"), ("a.py", "a", "file", "1"), (None, "old", "repository", "0")], "path string, qualified_name string, kind string, id string"), "00000000-0000-0000-0000-000000000000", "repo")
+    assert [(r.path, r.kind, r.qualified_name) for r in G.listed_nodes(nodes).collect()] == [(None, "repository", "repo"), ("a.py", "file", "a"), ("a.py", "module", "a"), ("b.py", "module", "b")]
+    facts = spark.createDataFrame([("b", 1, 1, "calls", "1"), ("a", 2, 2, "calls", "2"), ("a", 2, 2, "calls", "0"), ("a", 1, 3, "tests", "4")], "source_file string, start_line int, end_line int, kind string, id string")
+    assert [r.id for r in G.listed_facts(facts).collect()] == ["4", "0", "2", "1"]
