@@ -33,9 +33,9 @@ def windows(start: Column, end: Column, most: int = 100, overlap: int = 20) -> C
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((start + i * step).cast("long").alias("start"), F.least(start + i * step + most - 1, end).cast("long").alias("end")))
 
 
-def islands(rows: DataFrame, by: list[str], gap: int = 2, kind: str | None = None) -> DataFrame:
-    """``rows`` (start, end, ...) with ``island``: consecutive ones of a kind no more than ``gap`` lines apart."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
+def islands(rows: DataFrame, by: list[str], gap: int = 2, kind: str | None = None, ties: list[str] | None = None) -> DataFrame:
+    """``rows`` (start, end, ...) with ``island``: consecutive ones of a kind no more than ``gap`` lines apart; ``ties`` order equal spans."""
+    w = Window.partitionBy(*by).orderBy("start", "end", *(ties or []))
     far = F.coalesce(F.col("start") - F.lag("end").over(w) > gap, F.lit(True))
     if kind:
         far = far | F.coalesce(F.col(kind) != F.lag(kind).over(w), F.lit(True))

@@ -584,7 +584,7 @@ def fake_embedding(s, d):
     return v.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
 
 
-@query()
+@query(f"WITH {SYMS} SELECT path || '/' || id || '.py' AS relative_path, CAST(1 AS INTEGER) AS symbols, CAST(5 AS INTEGER) AS units, CAST(3 AS INTEGER) AS nodes, CAST(4 AS INTEGER) AS facts, CAST(0 AS INTEGER) AS diagnostics FROM syms")
 def python_extract(s, d):
     """Symbols, units, nodes and facts of Python sources made from the parts table."""
     from siftwell.sources.extract import parsed

@@ -29,6 +29,21 @@ SCHEMA = f"relative_path string, language string, symbols array<struct<{SYMBOL}>
 GROUPS = ("symbols", "units", "nodes", "facts", "diagnostics")
 _languages: dict[str, Callable[[str, str], dict]] = {}
 
+#: How a language splits identifiers into terms; one without an entry adds none.
+_terms: dict[str, Callable[[str], list[str]]] = {}
+
+
+def fragments(value: str) -> list[str]:
+    """The whole, and the parts of each run of letters and digits, in lower case."""
+    parts = [x for run in re.findall(r"[A-Za-z0-9]+", value) for x in (run, *re.findall(r"[0-9]+|[A-Z]+(?=[0-9]|$|[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+", run))]
+    return [x.lower() for x in (value, *parts) if x]
+
+
+def registry_terms(value: str) -> list[str]:
+    """Terms of all registered languages, each once, in order of registration."""
+    return list(dict.fromkeys(t for own in dict.fromkeys(_terms.values()) for t in own(value)))
+
+
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -261,6 +276,7 @@ def documentation(path: str, text: str) -> dict:
 
 register("python", python)
 register("documentation", documentation)
+_terms["python"] = _terms["documentation"] = fragments
 
 
 def parsed(sources: DataFrame) -> DataFrame:
