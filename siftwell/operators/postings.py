@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import tokens
-from siftwell.session import cut
+from siftwell.session import cut, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -35,6 +35,7 @@ def bm25_channels(docs: DataFrame, key: str, weights: dict[str, float], terms: l
     phrase; only documents with a hit are written, as narrow rows. What is left is arithmetic on them: nothing is shuffled.
     """
     columns = [c for c in weights if any(c in searched for searched in channels.values())]
+    docs = spread(docs.select(key, *weights))
     words = docs.select(F.col(key).alias("k"), *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"w_{c}") for c in weights])
     dl = sum((F.size(f"w_{c}") for c in weights), F.lit(0)).cast("double")
     # how often a term stands in a column: what removing it takes away

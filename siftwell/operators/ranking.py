@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import clip, fuzzy_ladder, normalize_identifier
+from siftwell.session import spread
 
 CHANNELS = {c: i for i, c in enumerate("exact_qualified exact_short path identifier bm25 fuzzy_symbol".split())}
 BONUS = {"exact_qualified": 1.0, "exact_short": 0.96, "path": 0.86, "identifier": 0.76, "bm25": 0.66, "fuzzy_symbol": 0.36}
@@ -36,10 +37,12 @@ def fuzzy(symbols: DataFrame, query: str, top_k: int, least: float = 0.55, most_
         raise OverflowError(f"more than {most_candidates} candidates")
     bounded = lambda c: normalize_identifier(F.when(F.length(c) <= 512, F.col(c)).otherwise(""))
     # normal forms are columns, computed once; in one struct they can't clash
-    normal = symbols.select(F.struct(*[symbols[f"`{c}`"] for c in symbols.columns]).alias("row"), bounded("name").alias("a"), bounded("qualified_name").alias("b"))
-    scored = normal.select("row", F.greatest(fuzzy_ladder(query, F.col("a"), least), fuzzy_ladder(query, F.col("b"), least)).alias("s")).filter(F.col("s") >= least)
+    packed = spread(symbols.select(F.struct(*[symbols[f"`{c}`"] for c in symbols.columns]).alias("row")))
+    normal = packed.select("row", bounded("row.name").alias("a"), bounded("row.qualified_name").alias("b"))
+    scored = normal.select("row", F.greatest(fuzzy_ladder(query, F.col("a"), least), fuzzy_ladder(query, F.col("b"), least)).alias("s"))
     out = scored.select(*[F.col("row").getField(c).alias(c) for c in symbols.columns if c != "score"], F.col("s").alias("score"))
-    return out.orderBy(F.desc("score"), F.length("qualified_name"), "path", "qualified_name", "start_line", "id").limit(top_k)
+    # the threshold comes last: what falls under it sorts last, and a filter below the limit would compute each score again
+    return out.orderBy(F.desc("score"), F.length("qualified_name"), "path", "qualified_name", "start_line", "id").limit(top_k).filter(F.col("score") >= least)
 
 
 def wanted_kind(query_words: set[str], kind: Column) -> Column:

@@ -15,6 +15,7 @@ PACKAGE = Path(__file__).resolve().parent
 #: Rows go to Python in batches of at most this many bytes: 10,000 rows, Spark's own bound, say nothing of whole texts.
 BATCH_BYTES = 4_000_000
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +60,31 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write wide rows as Parquet in the shared folder and read them again."""
+    """Write wide rows as Parquet in the shared folder and read them again. The application's files go when its driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/siftwell-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _folders.add(folder)
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where the input has fewer partitions than there are cores, as a small file has.
+
+    Only plans that read and project are looked at; one that shuffles, and any input that is large enough, stays as it is.
+    """
+    execution, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan" or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def size_in_bytes(df: DataFrame, text: str = "text") -> int:
     """The optimiser's estimate of a plan's bytes; where it has none, the bytes of its texts."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.session import ship
+from siftwell.session import ship, spread
 
 SYMBOL = "name string, qualified_name string, kind string, start_line int, end_line int, source_snippet string"
 UNIT = "kind string, start_line int, end_line int, text string, symbol string, ordinal int"
@@ -297,7 +297,7 @@ def parsed(sources: DataFrame) -> DataFrame:
                 out.append({"relative_path": path, "language": language, **{g: got.get(g, []) for g in GROUPS}})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return sources.select("relative_path", "language", "text").mapInArrow(run, SCHEMA)
+    return spread(sources.select("relative_path", "language", "text")).mapInArrow(run, SCHEMA)
 
 
 def exploded(rows: DataFrame, group: str) -> DataFrame:
