@@ -126,11 +126,14 @@ def test_settings():
             Settings(**bad)
 
 
-def test_stream(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [16, 2])
+def test_stream(spark, tmp_path, compact_every):
     from siftwell.streaming import current, follow
 
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for i, rows in enumerate(([("a", "1"), ("b", "1")], [("b", "2"), ("c", "1")])):
+    assert current(spark, target) is None
+    for rows in ([("a", "1"), ("b", "1")], [("b", "2"), ("c", "1"), ("c", "0")], [("a", "3")]):
         spark.createDataFrame(rows, "path string, content_hash string").coalesce(1).write.mode("append").parquet(source)
-        follow(spark, source, "path string, content_hash string", target, str(tmp_path / "check"), ["path"]).awaitTermination()
-    assert sorted(map(tuple, current(spark, target).collect())) == [("a", "1"), ("b", "2"), ("c", "1")]
+        follow(spark, source, "path string, content_hash string", target, str(tmp_path / "check"), ["path"], compact_every=compact_every).awaitTermination()
+    assert sorted(map(tuple, current(spark, target).collect())) == [("a", "3"), ("b", "2"), ("c", "1")]
+    assert spark.read.parquet(f"{target}/kind=delta").filter("batch = 2").count() == 1  # a batch writes its own rows alone
