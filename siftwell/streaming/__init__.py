@@ -44,7 +44,7 @@ def current(spark: SparkSession, target: str, before: int | None = None) -> Data
 
     whole, deltas = done("whole"), done("delta")
     last = max(whole, default=-1)
-    paths = [whole[last]] * (last >= 0) + [p for n, p in sorted(deltas.items()) if n > last]
+    paths = ([whole[last]] if whole else []) + [p for n, p in sorted(deltas.items()) if n > last]
     if not paths:
         return None
     rows = spark.read.option("basePath", target).parquet(*paths)
