@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.bpe import encoder
 from siftwell.llm.buffers import portions
-from siftwell.session import ship
+from siftwell.session import ship, spread
 
 
 def character_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority", fiel
     if rule not in ("majority", "first"):
         raise ValueError(f"no such rule: {rule}")
     ship(docs.sparkSession)
-    parts = [F.coalesce(docs[f"`{c}`"], F.lit("")) for c in fields]
+    parts = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in fields]
     ends = F.array(*[F.octet_length(p).cast("long") + (1 if i + 1 < len(parts) else 0) for i, p in enumerate(parts)])
     k = len(parts)
 
@@ -98,5 +98,5 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority", fiel
             )
 
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", F.concat_ws("\n", *parts).alias("text"), ends.alias("sizes"))
+    joined = spread(docs).select("doc_id", F.concat_ws("\n", *parts).alias("text"), ends.alias("sizes"))
     return joined.mapInArrow(run, f"doc_id {kind}, field string, section long, start_char long, n_chars long, n_tokens long, split_at_start long")

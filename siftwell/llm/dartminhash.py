@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.buffers import M1, M2, M3, mix, padded, portions, ragged, runs_of, slice_hash, words64
-from siftwell.session import cut, ship, stored
+from siftwell.session import cut, ship, spread, stored
 
 COORDINATES, ROWS, THRESHOLD = 125, 5, 0.55
 CHUNK, TEXTS = 1_000_000, 1 << 16  # of bytes and texts at once
@@ -150,7 +150,7 @@ def signed(docs: DataFrame, t: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pc.if_else(none, None, x) for x in (blob, pa.array(whole.view(np.int64)), lists))], ["doc_id", "th", "sig", "whole", "bands"])
 
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    rows_in = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows_in = spread(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     out = rows_in.mapInArrow(run, f"doc_id {kind}, th long, sig binary, whole long, bands array<long>")
     return stored(out.withColumn("rid", F.monotonically_increasing_id()))
 

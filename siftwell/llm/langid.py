@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.buffers import held, portions, sums
-from siftwell.session import ship
+from siftwell.session import ship, spread
 
 STRETCH, ROUNDS = 256, 3
 FLAG = 1 << 30
@@ -210,8 +210,8 @@ def labelled_text(docs: DataFrame, usable, train_docs: int = 64, train_bytes: in
 def predict(docs: DataFrame, texts: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """(row: the columns of docs, lang_pred, score, bits: per byte, by the language predicted, but for the first phrase)."""
     ship(docs.sparkSession)
-    packed = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    rows = docs.select(packed, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has"))
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = spread(docs).select(packed, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = parser(texts) if texts else None

@@ -12,8 +12,9 @@ of an equal hash are always in one piece, so a block has all links of its rows,
 blocks. A walk is sequential: a piece is walked in one task however large it is, from 48 bytes a row and 4 a neighbour
 besides what sorting takes. Offsets come from one total per block, so nothing else leaves a block.
 
-Cases: null text counts as empty and gives the end token alone; repeated
-documents and repeated or null doc_id stay separate rows; an empty table gives no pieces.
+Cases: null text counts as empty and gives the end token alone; repeated documents and repeated or null doc_id stay
+separate rows; very long texts are encoded whole and cut by the windows; an empty table gives no pieces. Only doc_id and
+text are read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.bpe import encoder
 from siftwell.llm.buffers import M1, M2, minima, mix, portions
 from siftwell.llm.dartminhash import components
-from siftwell.session import cut, ship, stored
+from siftwell.session import cut, ship, spread, stored
 
 SKETCHES = 4
 SEEDS = [int(x) for x in mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * M1)]
@@ -66,7 +67,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), blob, pa.array(counts + 1), *map(pa.array, sketches)], ["doc_id", "ids", "n", *(f"s{i}" for i in range(SKETCHES))])
 
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n long, " + ", ".join(f"s{i} long" for i in range(SKETCHES)))
+    out = spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids binary, n long, " + ", ".join(f"s{i} long" for i in range(SKETCHES)))
     return stored(out.withColumn("rid", F.monotonically_increasing_id()))
 
 

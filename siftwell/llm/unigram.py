@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siftwell.llm.buffers import SliceCache, held, padded, portions, ragged, runs_of, slice_hash, sums, words64
-from siftwell.session import ship
+from siftwell.session import ship, spread
 
 UNKNOWN_PENALTY, CHUNK, SLOTS = 10.0, 2_000_000, 1 << 17
 
@@ -267,7 +267,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(counts), pa.array(sums(u.is_byte[ids], bounds)), pa.array(same)], ["doc_id", "pieces", "n_pieces", "n_byte_pieces", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pieces array<int>, n_pieces long, n_byte_pieces long, round_trip boolean")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, pieces array<int>, n_pieces long, n_byte_pieces long, round_trip boolean")
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:

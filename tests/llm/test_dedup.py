@@ -75,6 +75,14 @@ def test_first_of_each_keeps_rows_and_columns(spark):
     assert first_of_each(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_first_of_each_keeps_clashing_columns(spark):
+    names = ["row", "id", "th", "gone_id", "gone_th", "twice_id", "is", "_own", "_is", "_twice", "keep", "rid"]
+    rows = [(d, t, *[f"{c}{d}" for c in names]) for d, t in [*corpus()[:12], corpus()[5], corpus()[5]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = first_of_each(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(set(rows[:12]))
+
+
 def test_links_are_all_banded_pairs(spark):
     rng = random.Random(5)
     base = prose(rng, 150).split()
