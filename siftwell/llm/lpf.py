@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.buffers import M1, M2, M3, mix, padded, ragged, runs_of, slice_hash, sums, text_bytes, trim, words64
 from siftwell.session import ship, shuffle_partitions, size_in_bytes
 
-K, BUCKET_BYTES, CHUNK = 20, 2_000_000, 500_000
+K, BUCKET_BYTES, TASK_BYTES, CHUNK, STRINGS = 20, 2_000_000, 32_000_000, 250_000, 200_000
 NEVER = np.iinfo(np.int64).max
 LOW48, LOW20 = np.uint64((1 << 48) - 1), np.uint64((1 << 20) - 1)
 
@@ -180,23 +180,36 @@ def repeated(minimizer: np.ndarray, stretch: np.ndarray, bounds: np.ndarray, doc
     several = np.bincount(family[lead]) > 1
     rep = order[lead][several[family[lead]]]
     if len(rep):
-        at = ragged(bounds[:-1][rep], strings[rep])
-        which = np.repeat(rep, strings[rep])
-        words = [w[at + min(d, width - 8)].byteswap() for d in range(0, width, 8)]
-        suffixes = np.lexsort((*words[::-1], minimizer[which]))
-        which = which[suffixes]
-        lcp = common_prefixes([x[suffixes] for x in words], width)
-        lcp[1:][minimizer[which[1:]] != minimizer[which[:-1]]] = 0
-        found = np.empty(len(at), bool)
-        found[suffixes] = longest_previous_factors(own[which], lcp, width) >= width
         # back to every stretch through its representative
+        found = np.zeros(int(strings[rep].sum()), bool)
+        ends = np.cumsum(strings[rep])
+        # whole minimizers at a time, of some hundred thousand strings together unless one has more
+        last = np.flatnonzero(np.append(minimizer[rep[1:]] != minimizer[rep[:-1]], True))
+        for i, j in runs_of(np.concatenate(([0], ends[last])), STRINGS):
+            lo, hi = (last[i - 1] + 1 if i else 0), last[j - 1] + 1
+            own_strings = slice(int(ends[lo] - strings[rep[lo]]), int(ends[hi - 1]))
+            found[own_strings] = _earlier(minimizer, w, bounds, strings, own, rep[lo:hi], width)
         place = np.full(len(lead), -1, np.int64)
-        place[group[rep]] = np.cumsum(strings[rep]) - strings[rep]
+        place[group[rep]] = ends - strings[rep]
         these = np.flatnonzero(place[group] >= 0)
         out[ragged(string_bounds[:-1][these], strings[these])] |= found[ragged(place[group[these]], strings[these])]
     return out, string_bounds
 
 
+def _earlier(minimizer: np.ndarray, w: np.ndarray, bounds: np.ndarray, strings: np.ndarray, doc: np.ndarray, rep: np.ndarray, width: int) -> np.ndarray:
+    """Whether each string of the stretches ``rep`` has an earlier copy among them, of the same minimizer: by suffix order and factors."""
+    at = ragged(bounds[:-1][rep], strings[rep])
+    which = np.repeat(rep, strings[rep])
+    words = [w[at + min(d, width - 8)].byteswap() for d in range(0, width, 8)]
+    suffixes = np.lexsort((*words[::-1], minimizer[which]))
+    which = which[suffixes]
+    lcp = common_prefixes([x[suffixes] for x in words], width)
+    lcp[1:][minimizer[which[1:]] != minimizer[which[:-1]]] = 0
+    found = np.empty(len(at), bool)
+    found[suffixes] = longest_previous_factors(doc[which], lcp, width) >= width
+    return found
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return np.asarray(table.column("doc_id").cast(pa.int64()).fill_null(NEVER).combine_chunks().to_numpy(zero_copy_only=False)).astype(np.int64)
 
@@ -289,9 +302,11 @@ def marked(docs: DataFrame, output, schema: str, width: int = 50) -> DataFrame:
         raise ValueError(f"width must be at least {K + 8}")
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(2 * shuffle_partitions(spark), -(-size_in_bytes(docs) // BUCKET_BYTES))
+    size = size_in_bytes(docs)
+    buckets = max(2 * shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     parts = buckets
-    texts = docs.withColumn("th", F.xxhash64("text")).withColumn("b", F.pmod(F.xxhash64(F.col("th"), F.col("doc_id")), F.lit(buckets)).cast("int"))
+    tasks = max(shuffle_partitions(spark), -(-size // TASK_BYTES))  # a task's input stays the same however large the whole is
+    texts = docs.withColumn("th", F.xxhash64("text")).withColumn("b", F.pmod(F.xxhash64(F.col("th"), F.col("doc_id")), F.lit(buckets)).cast("int")).repartition(tasks, "b")
 
     def ask(table: pa.Table) -> pa.Table:
         own = Bucket(table, width, parts)
@@ -380,11 +395,11 @@ def marked(docs: DataFrame, output, schema: str, width: int = 50) -> DataFrame:
 
     empty = _empty(schema, spark)
     asked = texts.groupBy("b").applyInArrow(ask, BLOBS)
-    bits = asked.groupBy("part").applyInArrow(tell, BLOBS)
-    sent = texts.groupBy("b").cogroup(bits.groupBy("b")).applyInArrow(send, BLOBS)
-    lows = sent.groupBy("part").applyInArrow(judge, BLOBS)
+    bits = asked.repartition(tasks, "part").groupBy("part").applyInArrow(tell, BLOBS)
+    sent = texts.groupBy("b").cogroup(bits.repartition(tasks, "b").groupBy("b")).applyInArrow(send, BLOBS)
+    lows = sent.repartition(tasks, "part").groupBy("part").applyInArrow(judge, BLOBS)
     both = bits.withColumn("kind", F.lit(1)).unionByName(lows.withColumn("kind", F.lit(2)))
-    return texts.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(finish, schema)
+    return texts.groupBy("b").cogroup(both.repartition(tasks, "b").groupBy("b")).applyInArrow(finish, schema)
 
 
 def _empty(schema: str, spark) -> pa.Table:
