@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.buffers import ragged
 from siftwell.llm.topk import BLOCK_VALUES, best_per_row, blocks, matrix, meet, usable, wide
 from siftwell.session import ship, stored
 
-PIVOTS, POSTS, PROBES, RERANK, LEAST, ROW_BLOCK, QUERY_BLOCK, CELLS = 2048, 32, 56, 0.15, 10, 16_384, 512, 1 << 20
+PIVOTS, POSTS, PROBES, RERANK, LEAST, ROW_BLOCK, QUERY_BLOCK = 2048, 32, 56, 0.15, 10, 16_384, 512
 
 
 def nearest_pivots(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra: np.ndarray, prefix: int) -> np.ndarray:
@@ -59,32 +58,38 @@ class InvertedFiles:
         self.row, self.place = (by // posts).astype(np.int32), (by % posts).astype(np.int16)
         self.bounds = np.searchsorted(flat[by], np.arange(pivots + 1))
 
-    def overlap(self, queries: np.ndarray) -> np.ndarray:
-        """Of each query (their nearest pivots in order) and row; the footrule distance is a constant less twice this."""
-        g, probes = queries.shape
-        pivot = queries.ravel()
-        n = self.bounds[pivot + 1] - self.bounds[pivot]
-        at = ragged(self.bounds[pivot], n)
-        weight = probes - np.maximum(self.place[at], np.repeat(np.tile(np.arange(probes, dtype=np.int16), g), n))
-        cell = self.row[at] + np.repeat(np.repeat(np.arange(g) * self.n, probes), n)
-        return np.bincount(cell, weights=weight, minlength=g * self.n).reshape(g, self.n)
+    def overlap(self, query: np.ndarray) -> np.ndarray:
+        """Of a query (its nearest pivots in order) and each row; the footrule distance is a constant less twice this."""
+        probes = len(query)
+        at = [slice(a, b) for a, b in zip(self.bounds[query].tolist(), self.bounds[query + 1].tolist())]
+        rank = np.repeat(np.arange(probes, dtype=np.int16), [s.stop - s.start for s in at])
+        weight = probes - np.maximum(np.concatenate([self.place[s] for s in at]), rank)
+        return np.bincount(np.concatenate([self.row[s] for s in at]), weights=weight, minlength=self.n).astype(np.int32)
+
+
+def greatest(values: np.ndarray, take: int) -> np.ndarray:
+    """Positions of the ``take`` greatest of small whole numbers, the first of equal ones."""
+    if take >= len(values):
+        return np.arange(len(values))
+    least = len(values) - take
+    bar = int(np.searchsorted(np.cumsum(np.bincount(values)), least, "right"))  # the smallest of those taken
+    above, equal = np.flatnonzero(values > bar), np.flatnonzero(values == bar)
+    return np.concatenate((above, equal[: take - len(above)]))
 
 
 def found(ids: np.ndarray, x: np.ndarray, files: InvertedFiles, q_ids: np.ndarray, q: np.ndarray, order: np.ndarray, k: int, take: int) -> tuple[np.ndarray, ...]:
     """(query's number, id, score) of the k best of the ``take`` rows nearest by footrule of each query; ids ascend."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(1, CELLS // max(1, len(ids)))
-    for i in range(0, len(q), step):
-        near = files.overlap(order[i : i + step])
-        for j, (own, row) in enumerate(zip(q_ids[i : i + step].tolist(), near), i):
-            pick = np.argpartition(row, len(row) - take)[len(row) - take :] if take < len(row) else np.arange(len(row))
-            pick = pick[ids[pick] != own]
-            score = x[pick] @ q[j]
-            if len(pick) > k:  # a product's last bits depend on how it is added up: those near the k-th are added up alike
-                kth = np.partition(score, len(score) - k)[len(score) - k]
-                pick = pick[score >= kth - 1e-9 * (1 + abs(kth))]
-            score = (x[pick] * q[j]).sum(axis=1)
-            out.append(best_per_row(np.full(len(pick), j), ids[pick], score, k))
+    for j, own in enumerate(q_ids.tolist()):
+        pick = greatest(files.overlap(order[j]), take)
+        pick = pick[ids[pick] != own]
+        score = x[pick] @ q[j].astype(x.dtype)
+        if len(pick) > k:  # products in x's own precision: those near the k-th are added up again, in double
+            kth = np.partition(score, len(score) - k)[len(score) - k]
+            slack = 1e-4 if x.dtype == np.float32 else 1e-9
+            pick = pick[score >= kth - slack * (1 + np.abs(score).max())]
+        score = (x[pick].astype(np.float64) * q[j]).sum(axis=1)
+        out.append(best_per_row(np.full(len(pick), j), ids[pick], score, k))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -126,7 +131,7 @@ def nearest(
         q_ids, q, order = block
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for ids, x, files in own:
-            out.append(found(ids, x.astype(np.float64), files, q_ids, q, order, k, min(len(ids), max(least * k, int(rerank * len(ids))))))
+            out.append(found(ids, x, files, q_ids, q, order, k, min(len(ids), max(least * k, int(rerank * len(ids))))))
         row, ids, score = best_per_row(*(np.concatenate(c) for c in zip(*out)), k)
         return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siftwell.llm import topk
-from siftwell.llm.permindex import InvertedFiles, nearest
+from siftwell.llm.permindex import InvertedFiles, greatest, nearest
 from siftwell.llm.topk import NONE, cheapest_lead, search, top_inner
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -123,12 +123,22 @@ def test_permutation_ties_and_repeated_ids(spark):
         assert [(v, s) for _, v, s in sorted(got[q])] == ranked(x[q], x, ids, q, 20)
 
 
+def test_greatest():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 200):
+        v = rng.integers(0, 7, n)
+        for take in (1, n // 2 + 1, n, n + 3):
+            got = greatest(v, take)
+            assert len(set(got.tolist())) == len(got) == min(take, n) and sorted(v[got].tolist()) == sorted(v.tolist())[n - len(got) :]
+
+
 def test_footrule():
     rng = np.random.default_rng(1)
     order = np.argsort(rng.random((50, 30)), axis=1)
     files, q = InvertedFiles(order[:, :6], 30), order[:3, :9]
     place = lambda row, p, n: row.tolist().index(p) if p in row.tolist() else n
-    for a, near in zip(q, files.overlap(q)):
+    for a in q:
+        near = files.overlap(a)
         foot = [sum(abs(place(a, p, 9) - place(b[:6], p, 9)) for p in set(a.tolist()) | set(b[:6].tolist())) for b in order]
         most = sum(9 - i for i in range(9)) + sum(9 - i for i in range(6))
         assert [most - 2 * o for o in near.tolist()] == foot
