@@ -24,6 +24,15 @@ def unit(query: list[float], dimension: int | None = None) -> list[float]:
     return [x / norm for x in q]
 
 
+def unit_column(vector: Column, dimension: int | None = None) -> Column:
+    """The same for a column; null where ``unit`` would be an error."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+    usable = (F.size(vector) > 0) & ~F.isnan(norm) & (norm != float("inf")) & (norm > 0)
+    if dimension is not None:
+        usable = usable & (F.size(vector) == dimension)
+    return F.when(usable, F.transform(vector, lambda x: x / norm))
+
+
 def scored(vectors: DataFrame, query: list[float], vector: str) -> Column:
     q = F.lit([float(x) for x in query]).cast("array<double>")
     return F.round(clip(F.aggregate(F.zip_with(F.col(vector), q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x), -1.0, 1.0), 6)

@@ -18,7 +18,6 @@ from siftwell.functions import text as T
 from siftwell.functions.embedding import identity
 from siftwell.operators import graph as G
 from siftwell.operators import maintenance as M
-from siftwell.operators import ranking as R
 from siftwell.operators import units as U
 from siftwell.operators import vectors as V
 from siftwell.plans.catalog import query
@@ -285,33 +284,29 @@ def module_names(s, d):
     return p.select("p_partkey", T.module_name(F.col("path")).alias("module"), repository.is_test_path(F.col("path")).alias("is_test"))
 
 
-@query("WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings WHERE vec_id % 50 = 0) SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 9) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 9) AS last FROM q")
+@query("WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 9) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 9) AS last FROM q")
 def query_vectors(s, d):
-    """Queries are brought to unit length; what can't be is an error, tested apart."""
-    asked = table(s, d, "embeddings").filter("vec_id % 50 = 0").select("vec_id", "embedding").toLocalIterator()
-    units = [(r.vec_id, V.unit([3 * x for x in r.embedding], 64)) for r in asked]
-    return s.createDataFrame([(i, round(u[0], 9), round(u[-1], 9)) for i, u in units], "vec_id long, first double, last double")
+    """Vectors brought to unit length, as queries are; those that can't be are null, as a query they are an error."""
+    u = table(s, d, "embeddings").select("vec_id", V.unit_column(F.transform("embedding", lambda x: x.cast("double") * 3), 64).alias("u"))
+    return u.select("vec_id", F.round(F.get("u", F.lit(0)), 9).alias("first"), F.round(F.get("u", F.lit(63)), 9).alias("last"))
 
 
-@query("""WITH e AS (SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, l_returnflag AS kind, l_shipdate AS f, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS id FROM lineitem)
-SELECT CAST(id AS BIGINT) AS id, row_number() OVER (ORDER BY source, kind, target, f, line, id) AS place FROM e ORDER BY place LIMIT 100""")
+@query("SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, 'o' || l_orderkey AS source, 'p' || l_partkey AS target FROM lineitem ORDER BY source, l_returnflag, target, l_shipdate, l_linenumber, id")
 def edge_listing(s, d):
     e = table(s, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_returnflag").alias("kind"), F.col("l_shipdate").alias("source_file"), F.col("l_linenumber").alias("start_line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"))
-    return R.numbered(G.listed_edges(e), ["source", "kind", "target", "source_file", "start_line", "id"], 100, "place").select("id", "place")
+    return G.listed_edges(e).select("id", "source", "target")
 
 
-@query("""WITH f AS (SELECT 'f' || l_suppkey AS source_file, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) AS b, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS id FROM lineitem)
-SELECT CAST(id AS BIGINT) AS id, row_number() OVER (ORDER BY source_file, a, b, kind, id) AS place FROM f ORDER BY place LIMIT 100""")
+@query("SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, 'f' || l_suppkey AS source_file FROM lineitem ORDER BY source_file, l_linenumber, l_linenumber + CAST(l_quantity AS INTEGER), l_returnflag, id")
 def fact_listing(s, d):
     f = table(s, d, "lineitem").select(F.concat(F.lit("f"), "l_suppkey").alias("source_file"), F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("end_line"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"))
-    return R.numbered(G.listed_facts(f), ["source_file", "start_line", "end_line", "kind", "id"], 100, "place").select("id", "place")
+    return G.listed_facts(f).select("id", "source_file")
 
 
-@query("""WITH n AS (SELECT CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_type END AS path, p_brand AS q, p_name AS kind, p_partkey AS id FROM part)
-SELECT id, row_number() OVER (ORDER BY path NULLS FIRST, q, kind, id) AS place FROM n ORDER BY place LIMIT 100""")
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 10 <> 0 THEN p_type END AS path FROM part ORDER BY path NULLS FIRST, p_brand, p_name, p_partkey")
 def node_listing(s, d):
     n = table(s, d, "part").select(F.when(F.col("p_size") % 10 != 0, F.col("p_type")).alias("path"), F.col("p_brand").alias("qualified_name"), F.col("p_name").alias("kind"), F.col("p_partkey").alias("id"))
-    return R.numbered(G.listed_nodes(n), [F.asc_nulls_first("path"), "qualified_name", "kind", "id"], 100, "place").select("id", "place")
+    return G.listed_nodes(n).select("id", "path")
 
 
 @query("""SELECT event_type, round(1000.0::DOUBLE / quantile_cont(value, 0.5), 6) AS calls_per_second, round(1000.0::DOUBLE / quantile_cont(value, 0.5) * count(*), 3) AS rows_per_second, round(max(value) / quantile_cont(value, 0.5), 6) AS speed_up FROM events GROUP BY event_type HAVING quantile_cont(value, 0.5) > 0""")

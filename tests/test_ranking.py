@@ -29,6 +29,12 @@ def test_fuzzy_order_and_limits(spark):
     assert R.fuzzy(df, "load", 10, least=0.0).count() == 5
 
 
+def test_unit_vectors(spark):
+    rows = [([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([float("nan"), 1.0],), ([float("inf"), 1.0],), ([1.0],), ([1.0, None],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v array<double>").select(V.unit_column(F.col("v"), 2)).collect()]
+    assert got == [[0.6, 0.8]] + [None] * 7
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [-2.0, 0.0]), (3, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, v array<float>")
