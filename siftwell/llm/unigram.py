@@ -7,9 +7,9 @@ character without a piece of its own may become its UTF-8 bytes, at the least sc
 joins pieces and bytes, turns markers into spaces and drops the first.
 
 As no piece has a marker after another character, paths never cross from a word into the next marker: text is cut there,
-and each distinct word is searched once and kept in a table of bounded size. Pieces are looked up by array operations, at
-many places at once; one pass over what was found leaves the best sums, in time and memory in proportion to the text
-whatever the length of its words. Inside, the marker is the space byte, which no piece holds otherwise; so a literal U+2581 is encoded as
+and each distinct word is searched once and kept in a table of bounded size. Short words are searched in step, place by
+place, by array operations. For longer ones, pieces are looked up at many places at once, and one pass over what was
+found leaves the best sums, in time and memory in proportion to the text whatever the length of its words. Inside, the marker is the space byte, which no piece holds otherwise; so a literal U+2581 is encoded as
 bytes and comes back as itself.
 
 Cases: null and empty text give no pieces and decode to empty text; texts without spaces are one word, however long;
@@ -19,7 +19,6 @@ are read, so no name can clash.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from siftwell.llm.buffers import SliceCache, held, padded, portions, ragged, runs_of, slice_hash, sums, words64
 from siftwell.session import ship, spread
 
-UNKNOWN_PENALTY, CHUNK, SLOTS = 10.0, 2_000_000, 1 << 17
+UNKNOWN_PENALTY, CHUNK, SLOTS, SHORT, CELLS = 10.0, 2_000_000, 1 << 17, 64, 1_000_000
 
 
 class DoubleArray:
@@ -117,10 +116,87 @@ class Unigram:
 
     def viterbi(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of each word, ids of all words one after another)."""
-        counts, ids = array("q"), array("i")
-        for i, j in runs_of(np.concatenate(([0], np.cumsum(lengths + 1))), SLOTS):
-            self._words(data, starts[i:j], lengths[i:j], counts, ids)
-        return np.frombuffer(counts, np.int64), np.frombuffer(ids, np.int32)
+        counts, parts = np.zeros(len(starts), np.int64), []
+        long = np.flatnonzero(lengths > SHORT)
+        for i, j in runs_of(np.concatenate(([0], np.cumsum(lengths[long] + 1))), SLOTS):
+            n, ids = self._words(data, starts[long[i:j]], lengths[long[i:j]])
+            counts[long[i:j]] = n
+            parts.append((long[i:j], n, ids))
+        order = np.argsort(lengths, kind="stable")[: len(lengths) - len(long)]
+        i = 0
+        while i < len(order):
+            # words of similar length in step, in a table of bounded size
+            size = int(lengths[order[min(len(order), i + 4096) - 1]]) + 1
+            j = min(len(order), i + max(4096, CELLS // size))
+            while j > i + 4096 and (j - i) * (int(lengths[order[j - 1]]) + 1) > CELLS:
+                j = i + max(4096, (j - i) // 2)
+            n, ids = self._table(data, starts[order[i:j]], lengths[order[i:j]])
+            counts[order[i:j]] = n
+            parts.append((order[i:j], n, ids))
+            i = j
+        first = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for rows, n, ids in parts:
+            out[ragged(first[rows], n)] = ids
+        return counts, out
+
+    def _table(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Short words, all of them in step, one place after another."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        w, size = len(starts), int(lengths.max(initial=0))
+        best = np.full((size + 1, w), -np.inf)
+        best[0] = 0
+        back = np.zeros((size + 1, w), np.int32)  # bytes of the last piece
+        last = np.zeros((size + 1, w), np.int32)  # its number; -1: bytes of a character
+        for i in range(size):
+            row = np.flatnonzero((lengths > i) & np.isfinite(best[i]))
+            if not len(row):
+                continue
+            lead = data[starts[row] + i]
+            char = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            score, single = best[i, row], np.zeros(len(row), bool)
+            live, state = np.arange(len(row)), np.zeros(len(row), np.int64)
+            for k in range(self.longest):
+                left = lengths[row[live]] > i + k
+                live, state = live[left], state[left]
+                if not len(live):
+                    break
+                to = base[state] + data[starts[row[live]] + i + k]
+                ok = (check[to] == state) & (base[state] > 0)
+                live, state = live[ok], to[ok]
+                if not len(live):
+                    break
+                piece = value[state]
+                end = np.flatnonzero(piece >= 0)
+                if len(end):
+                    r, v = row[live[end]], score[live[end]] + self.scores[piece[end]]
+                    single[live[end]] |= char[live[end]] == k + 1
+                    up = v > best[i + k + 1, r]
+                    r = r[up]
+                    best[i + k + 1, r], back[i + k + 1, r], last[i + k + 1, r] = v[up], k + 1, piece[end][up]
+            odd = np.flatnonzero(~single)
+            if len(odd):
+                r, to, v = row[odd], i + char[odd], score[odd] + self.unknown
+                up = v > best[to, r]
+                best[to[up], r[up]], back[to[up], r[up]], last[to[up], r[up]] = v[up], char[odd][up], -1
+        at, live, counts, steps = lengths.copy(), np.arange(w), np.zeros(w, np.int64), []
+        while len(live):
+            k, piece = back[at[live], live], last[at[live], live]
+            begin = starts[live] + at[live] - k
+            n = np.where(piece < 0, k, 1)
+            steps.append((live, piece, begin, n))
+            counts[live] += n
+            at[live] -= k
+            live = live[at[live] > 0]
+        place = np.cumsum(counts)
+        out = np.empty(int(counts.sum()), np.int32)
+        for live, piece, begin, n in steps:
+            place[live] -= n
+            whole = piece >= 0
+            out[place[live[whole]]] = self.ids[piece[whole]]
+            for r, b, m in zip(live[~whole].tolist(), begin[~whole].tolist(), n[~whole].tolist()):
+                out[place[r] : place[r] + m] = self.bytes_at[data[b : b + m]]
+        return counts, out
 
     def _matches(self, data: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
         """(nth of ``at``, bytes, number, score) of all pieces that start at ``at`` and fit, in this order; number -1: bytes of a character."""
@@ -148,35 +224,56 @@ class Unigram:
         nth, size, piece = nth[order], size[order], piece[order]
         return nth, size, piece, np.where(piece >= 0, self.scores[piece], self.unknown)
 
-    def _words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: array, ids: array) -> None:
-        """Append each word's number of pieces and its ids.
+    def _words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of any length.
 
         Every word has a slot for each place between its bytes. Pieces are looked up for many places at once; one pass over
         them, in order of place, then leaves the best sum and last piece at every slot.
         """
         first = np.cumsum(lengths + 1) - (lengths + 1)
-        total = int((lengths + 1).sum())
-        start_score = np.full(total, -np.inf)
-        start_score[first] = 0
-        best, back, last = array("d", start_score.tobytes()), array("i", bytes(4 * total)), array("i", bytes(4 * total))
-        del start_score
+        total, reach = int((lengths + 1).sum()), max(self.longest, 4) + 1
+        sizes, pieces = np.zeros(total, np.int32), np.zeros(total, np.int32)  # of the last piece up to a slot
+        carried = np.zeros(0)
         for lo in range(0, total, SLOTS):
-            slot = np.arange(lo, min(total, lo + SLOTS))
+            hi = min(total, lo + SLOTS)
+            slot = np.arange(lo, hi)
             word = np.searchsorted(first, slot, "right") - 1
             inside = slot - first[word]
+            sums_here = np.full(hi - lo + reach, -np.inf)
+            sums_here[: len(carried)] = carried
+            sums_here[np.flatnonzero(inside == 0)] = 0
             room = lengths[word] - inside
             slot, at, room = (x[room > 0] for x in (slot, starts[word] + inside, room))
             begins = (data[at] & 0xC0) != 0x80
-            slot, at, room = slot[begins], at[begins], room[begins]
+            slot, at, room = slot[begins] - lo, at[begins], room[begins]
             nth, size, piece, score = self._matches(data, at, room)
             slot = slot[nth]
-            for p, e, number, s in zip(slot.tolist(), (slot + size).tolist(), piece.tolist(), score.tolist()):
+            best, won, m = sums_here.tolist(), [-1] * len(sums_here), 0
+            for p, e, s in zip(slot.tolist(), (slot + size).tolist(), score.tolist()):
                 v = best[p] + s
                 if v > best[e]:
-                    best[e], back[e], last[e] = v, e - p, number
+                    best[e], won[e] = v, m
+                m += 1
+            won = np.array(won)
+            at = np.flatnonzero(won >= 0)
+            sizes[lo + at], pieces[lo + at] = size[won[at]], piece[won[at]]
+            carried = np.array(best[hi - lo :])
+        return self._paths(data, first, starts, lengths, sizes, pieces)
+
+    def _paths(self, data: np.ndarray, first: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follow the last pieces back: all words in step while there are many, the long ones that remain one by one."""
+        at, live, n, steps = first + lengths, np.flatnonzero(lengths > 0), np.zeros(len(first), np.int64), []
+        while len(live) > 32:
+            size, piece = sizes[at[live]], pieces[at[live]]
+            steps.append((live, piece, starts[live] + at[live] - first[live] - size, np.where(piece < 0, size, 1)))
+            n[live] += steps[-1][3]
+            at[live] -= size
+            live = live[at[live] > first[live]]
+        rest = {}
         own, by_byte = self.ids.tolist(), self.bytes_at.tolist()
-        for o, n, s in zip(first.tolist(), lengths.tolist(), starts.tolist()):
-            e, path = o + n, []
+        for w in live.tolist():
+            e, o, s, path = int(at[w]), int(first[w]), int(starts[w]), []
+            back, last = memoryview(sizes), memoryview(pieces)
             while e > o:
                 k, number = back[e], last[e]
                 if number >= 0:
@@ -184,9 +281,18 @@ class Unigram:
                 else:
                     path.extend(by_byte[b] for b in data[s + e - o - k : s + e - o][::-1].tolist())
                 e -= k
-            path.reverse()
-            counts.append(len(path))
-            ids.extend(path)
+            rest[w] = path[::-1]
+            n[w] += len(path)
+        out, place = np.empty(int(n.sum()), np.int32), np.cumsum(n)
+        for live, piece, begin, count in steps:
+            place[live] -= count
+            whole = piece >= 0
+            out[place[live[whole]]] = self.ids[piece[whole]]
+            for r, b, m in zip(live[~whole].tolist(), begin[~whole].tolist(), count[~whole].tolist()):
+                out[place[r] : place[r] + m] = self.bytes_at[data[b : b + m]]
+        for w, path in rest.items():
+            out[place[w] - len(path) : place[w]] = path
+        return n, out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
