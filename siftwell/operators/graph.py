@@ -20,9 +20,11 @@ def resolve(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``facts`` with status, method, factor and target: the first priority with a match decides, and is ambiguous if it has several.
 
     facts: id, target_reference, target_kind, hint, hint_method, source_scope, module. nodes: id, kind, name, qualified_name.
-    Each priority is one equality on the qualified or the short name, so all of them are two joins of exploded keys.
+    Each priority is one equality on the qualified or the short name, so all of them are two joins of exploded keys. Only
+    the least and the greatest node of a name and kind can matter, so a key meets one row per kind, however many nodes share its name.
     """
     f = F.col
+    ends = lambda name: nodes.groupBy(name, "kind").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("source_scope", r"\."))), lambda n: F.concat_ws(".", F.slice(F.split("source_scope", r"\."), 1, n)))
     scoped = F.when(F.coalesce(f("source_scope"), F.lit("")) != "", F.transform(prefixes, lambda p: F.struct((F.lit(2000) - F.length(p)).alias("p"), F.lit("same_scope_qualified").alias("m"), F.concat(p, F.lit("."), f("target_reference")).alias("key")))).otherwise(F.expr("cast(array() as array<struct<p:int,m:string,key:string>>)"))
     fixed = F.array(
@@ -31,12 +33,11 @@ def resolve(facts: DataFrame, nodes: DataFrame) -> DataFrame:
         F.struct(F.lit(3001).alias("p"), F.lit("unique_repository_qualified_match").alias("m"), f("target_reference").alias("key")),
     )
     keys = facts.select(f("id").alias("fact"), "target_kind", F.explode(F.concat(fixed, scoped)).alias("k")).filter("k.key is not null")
-    n = nodes.select(f("id").alias("node"), "kind", "name", "qualified_name")
-    by_name = keys.select("fact", "target_kind", f("k.p").alias("p"), f("k.m").alias("m"), f("k.key").alias("qualified_name")).join(n, "qualified_name")
-    short = facts.select(f("id").alias("fact"), "target_kind", F.lit(4000).alias("p"), F.lit("unique_short_name_match").alias("m"), F.element_at(F.split("target_reference", r"\."), -1).alias("name")).join(n, "name")
-    found = by_name.select("fact", "target_kind", "p", "m", "node", "kind").unionByName(short.select("fact", "target_kind", "p", "m", "node", "kind")).filter(kind_allowed(f("target_kind"), f("kind")))
+    by_name = keys.select("fact", "target_kind", f("k.p").alias("p"), f("k.m").alias("m"), f("k.key").alias("qualified_name")).join(ends("qualified_name"), "qualified_name")
+    short = facts.select(f("id").alias("fact"), "target_kind", F.lit(4000).alias("p"), F.lit("unique_short_name_match").alias("m"), F.element_at(F.split("target_reference", r"\."), -1).alias("name")).join(ends("name"), "name")
+    found = by_name.drop("qualified_name").unionByName(short.drop("name")).filter(kind_allowed(f("target_kind"), f("kind")))
     # per priority: how many different nodes, then the first priority; counts combine before the shuffle
-    per = found.groupBy("fact", "p", "m").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    per = found.groupBy("fact", "p", "m").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     first = per.groupBy("fact").agg(F.min(F.struct("p", "m", "low", "high")).alias("b"))
     factor = F.element_at(F.create_map(*[x for m, w in METHODS for x in (F.lit(m), F.lit(w))]), f("b.m"))
     joined = facts.join(first, facts["id"] == first["fact"], "left")

@@ -115,3 +115,31 @@ def test_listings(spark):
     assert [(r.path, r.kind, r.qualified_name) for r in G.listed_nodes(nodes).collect()] == [(None, "repository", "repo"), ("a.py", "file", "a"), ("a.py", "module", "a"), ("b.py", "module", "b")]
     facts = spark.createDataFrame([("b", 1, 1, "calls", "1"), ("a", 2, 2, "calls", "2"), ("a", 2, 2, "calls", "0"), ("a", 1, 3, "tests", "4")], "source_file string, start_line int, end_line int, kind string, id string")
     assert [r.id for r in G.listed_facts(facts).collect()] == ["4", "0", "2", "1"]
+
+
+def most_rows(df):
+    """The most rows that any step of the plan gave, as it ran."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        m = p.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+        todo.extend(p.children().apply(i) for i in range(p.children().size()))
+    return most
+
+
+def test_resolution_of_a_name_that_all_nodes_share(spark):
+    n = 2000
+    nodes = spark.range(n).select("id", F.lit("symbol").alias("kind"), F.lit("run").alias("name"), F.concat(F.lit("a.run"), F.when(F.col("id") > 1, F.col("id").cast("string")).otherwise("")).alias("qualified_name"))
+    none = F.lit(None).cast("string")
+    facts = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "run").otherwise(F.concat(F.lit("a.run"), F.col("id").cast("string"))).alias("target_reference"), F.lit("symbol").alias("target_kind"), none.alias("hint"), none.alias("hint_method"), F.lit("").alias("source_scope"), F.lit("b").alias("module"))
+    df = G.resolve(facts, nodes)
+    assert most_rows(df) <= 4 * n
+    got = {r.id: (r.status, r.target) for r in df.collect()}
+    assert len(got) == n and got[0] == got[2] == ("ambiguous", None) and got[1] == ("unresolved", None) and got[3] == ("resolved", 3)
