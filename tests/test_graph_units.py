@@ -143,3 +143,15 @@ def test_resolution_of_a_name_that_all_nodes_share(spark):
     assert most_rows(df) <= 4 * n
     got = {r.id: (r.status, r.target) for r in df.collect()}
     assert len(got) == n and got[0] == got[2] == ("ambiguous", None) and got[1] == ("unresolved", None) and got[3] == ("resolved", 3)
+
+
+def test_facts_by_status_of_repeated_names(spark, tmp_path):
+    from siftwell.plans.catalog import QUERIES
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    n = part.count()
+    part.crossJoin(spark.range(40).select(F.col("id").alias("r"))).withColumn("p_partkey", F.col("p_partkey") + F.col("r") * 1_000_000).drop("r").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["facts_by_status"](spark, str(tmp_path))
+    assert most_rows(df) <= 8 * 40 * n
+    got = {r.status: r.n for r in df.collect()}
+    assert sum(got.values()) == 40 * n and set(got) <= {"ambiguous", "unresolved"}  # each node has 39 namesakes
