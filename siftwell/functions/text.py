@@ -195,9 +195,10 @@ def hashed_vector(c: Column, dimension: int) -> Column:
     """A deterministic unit vector from SHA-256: byte i of round r is mapped to [-1, 1]."""
     rounds = -(-dimension // 32)
     digest = F.concat(*[F.sha2(F.concat(c.cast("binary"), F.lit(f":{r}").cast("binary")), 256) for r in range(rounds)])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: (x / norm))
+    raw = lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    scaled = lambda v: F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))), lambda norm: F.transform(v, lambda x: x / norm))[0]
+    # a lambda's body is evaluated per element: digest, components and norm are elements themselves, so each is made once a row
+    return F.transform(F.transform(F.array(digest), raw), scaled)[0]
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -72,3 +72,16 @@ def test_hashed_vector(spark):
 def test_module_names(spark):
     for path, name in (("a/b.py", "a.b"), ("a/__init__.py", "a"), ("__init__.py", "__root__")):
         assert one(spark, path, T.module_name) == name
+
+
+def test_hashed_vector_hashes_each_text_once(spark):
+    texts = ["", "a", "é" * 70_000, None]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").select("text", T.hashed_vector(F.col("text"), 40).alias("v"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "sha2(" in plan and "sha2(" not in plan.partition("lambdafunction(")[2]  # a lambda's body is evaluated per element
+    for r in df.collect():
+        if r.text is None:
+            assert r.v == [None] * 40
+        else:
+            raw = [x / 127.5 - 1 for i in (0, 1) for x in hashlib.sha256(r.text.encode() + f":{i}".encode()).digest()][:40]
+            assert r.v == pytest.approx([x / sum(y * y for y in raw) ** 0.5 for x in raw], abs=1e-12)
