@@ -99,3 +99,33 @@ def test_bm25_index_equals_inline(spark):
     a = {r.id: round(r.bm25, 12) for r in P.bm25(docs, "id", weights, ["a", "b", "e"]).collect()}
     b = {r.id: round(r.bm25, 12) for r in P.bm25_indexed(postings, sizes, "id", weights, ["a", "b", "e"]).collect()}
     assert a == b and set(a) == {1, 2, 4}
+
+
+def test_batch_search_is_bounded_in_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(32_768, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(len(v))
+    tracemalloc.start()
+    q, found, score = V.nearest(ids[:1024], v[:1024], ids, v, 3)
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # all scores at once would be 268 MB
+    tracemalloc.stop()
+    for i in (0, 63, 1023):
+        want = np.round(np.clip(v @ v[i], -1, 1), 6)
+        want[i] = -np.inf
+        assert found[q == i].tolist() == np.lexsort((ids, -want))[:3].tolist() and score[q == i].tolist() == np.sort(want)[::-1][:3].tolist()
+
+
+def test_batch_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "QUERY_BYTES", 160)
+    monkeypatch.setattr(V, "ROW_BYTES", 480)
+    rows = [(i, [float(i % 7 - 3) / 4, float(i % 5 - 2) / 4]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in V.batch_top_k(df, F.col("id") % 20 == 0, "id", "v", 3).collect()}
+    assert len(got) == 30
+    for q in range(0, 200, 20):
+        dots = sorted((-round(max(-1.0, min(1.0, sum(a * b for a, b in zip(v, rows[q][1])))), 6), i) for i, v in rows if i != q)
+        assert [got[q, n + 1] for n in range(3)] == [(i, -s) for s, i in dots[:3]]
