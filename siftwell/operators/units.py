@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import identifier_terms, lines
+from siftwell.session import parted
 
 HEADING, UNDERLINE = r"^#{1,6}\s+", r"^[^\w\s]{3,}\s*$"
 
@@ -42,8 +43,9 @@ def islands(rows: DataFrame, by: list[str], gap: int = 2, kind: str | None = Non
     return rows.withColumn("new", far.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("new")
 
 
-def merged_spans(spans: DataFrame, by: list[str]) -> DataFrame:
-    """(by, start, end) of overlapping or adjacent spans put together."""
+def merged_spans(spans: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
+    """(by, start, end) of overlapping or adjacent spans put together; ``rows`` is their number, which is counted if not given."""
+    spans = parted(spans, spans.count() if rows is None else rows, *by)
     w = Window.partitionBy(*by).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = spans.withColumn("new", F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0))
@@ -53,9 +55,10 @@ def merged_spans(spans: DataFrame, by: list[str]) -> DataFrame:
 
 def span_gaps(owners: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
     """(by, start, end): what of each owner's [low, high] no span covers."""
-    inside = merged_spans(spans.join(owners, by).filter("end >= low and start <= high").select(*by, F.greatest("start", "low").alias("start"), F.least("end", "high").alias("end")), by)
+    rows = spans.count()
+    inside = merged_spans(spans.join(owners, by).filter("end >= low and start <= high").select(*by, F.greatest("start", "low").alias("start"), F.least("end", "high").alias("end")), by, rows)
     edges = inside.unionByName(owners.select(*by, (F.col("high") + 1).alias("start"), (F.col("high") + 1).alias("end")))
-    w = Window.partitionBy(*by).orderBy("start", "end")
+    w, edges = Window.partitionBy(*by).orderBy("start", "end"), parted(edges, rows, *by)
     gaps = edges.withColumn("last", F.lag("end").over(w)).join(owners, by)
     return gaps.select(*by, F.coalesce(F.col("last") + 1, F.col("low")).alias("a"), (F.col("start") - 1).alias("b")).filter("a <= b").select(*by, F.col("a").alias("start"), F.col("b").alias("end"))
 

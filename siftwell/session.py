@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parent
 #: Rows go to Python in batches of at most this many bytes: 10,000 rows, Spark's own bound, say nothing of whole texts.
 BATCH_BYTES = 4_000_000
+#: Rows of a task that sorts: left alone, Spark makes about as many tasks as there are cores, whose memory follows the input.
+TASK_ROWS = 500_000
 _shipped: set[str] = set()
 _folders: set[str] = set()
 
@@ -85,6 +87,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def parted(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` hashed into tasks of about ``TASK_ROWS``, given how many rows it has; one of no more than that for each core is left to Spark."""
+    tasks = -(-rows // TASK_ROWS)
+    return df if tasks <= df.sparkSession.sparkContext.defaultParallelism else df.repartition(tasks, *by)
+
+
 def size_in_bytes(df: DataFrame, text: str = "text") -> int:
     """The optimiser's estimate of a plan's bytes; where it has none, the bytes of its texts."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

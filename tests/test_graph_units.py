@@ -155,3 +155,33 @@ def test_facts_by_status_of_repeated_names(spark, tmp_path):
     assert most_rows(df) <= 8 * 40 * n
     got = {r.status: r.n for r in df.collect()}
     assert sum(got.values()) == 40 * n and set(got) <= {"ambiguous", "unresolved"}  # each node has 39 namesakes
+
+
+def most_rows_of_a_task(df):
+    return max(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+def test_spans_of_a_task_do_not_follow_the_input(spark, monkeypatch):
+    from siftwell import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    spans = spark.range(20_000).select((F.col("id") % 5000).alias("p"), (F.col("id") % 7 * 3).alias("start"), (F.col("id") % 7 * 3 + F.col("id") % 4).alias("end"))
+    merged = U.merged_spans(spans, ["p"])
+    assert most_rows_of_a_task(merged) <= 300
+    want = {}
+    for i in range(20_000):
+        want.setdefault(i % 5000, []).append((i % 7 * 3, i % 7 * 3 + i % 4))
+    out = set()
+    for p, each in want.items():
+        a, b = None, None
+        for s, e in sorted(each):
+            if a is None or s > b + 1:
+                out |= {(p, a, b)} if a is not None else set()
+                a, b = s, e
+            b = max(b, e)
+        out.add((p, a, b))
+    assert sorted(map(tuple, merged.collect())) == sorted(out)
+    owners = spark.range(5000).select(F.col("id").alias("p"), F.lit(0).cast("long").alias("low"), F.lit(30).cast("long").alias("high"))
+    covered = {p: {x for q, e in each for x in range(q, e + 1)} for p, each in want.items()}
+    gaps = U.span_gaps(owners, spans, ["p"]).collect()
+    assert all({x for r in gaps if r.p == p for x in range(r.start, r.end + 1)} == set(range(31)) - covered[p] for p in range(0, 5000, 500))
