@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import uuid5
+from siftwell.session import parted
 
 METHODS = [("same_scope_qualified", 1.0), ("explicitly_imported_symbol", 1.0), ("explicitly_imported_module", 1.0), ("same_module_symbol", 0.95), ("unique_repository_qualified_match", 0.9), ("unique_short_name_match", 0.7)]
 EDGE_WEIGHTS = {"calls": 0.9, "imports": 0.6, "inherits": 0.9, "references": 0.65, "depends_on": 0.55, "tests": 1.0}
@@ -65,14 +66,16 @@ def root_node(nodes: DataFrame, repository: str, name: str) -> DataFrame:
     return nodes.filter(F.col("kind") != "repository").unionByName(own, allowMissingColumns=True)
 
 
-def dependencies(imports: DataFrame, files: DataFrame) -> DataFrame:
+def dependencies(imports: DataFrame, files: DataFrame, rows: int | None = None) -> DataFrame:
     """(source, target, confidence, fact): the strongest import between two files, ties to the earliest fact.
 
-    imports: source_path, target_path, confidence, fact. files: path, id. Files that import themselves have none.
+    imports: source_path, target_path, confidence, fact. files: path, id. Files that import themselves have none. ``rows``
+    is the number of imports, or a bound of it; they are counted if it isn't given.
     """
     a = files.select(F.col("path").alias("source_path"), F.col("id").alias("source"))
     b = files.select(F.col("path").alias("target_path"), F.col("id").alias("target"))
     pairs = imports.join(a, "source_path").join(b, "target_path").filter("source <> target")
+    pairs = parted(pairs, imports.count() if rows is None else rows, "source", "target")
     best = pairs.groupBy("source", "target").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "fact")).alias("b"))
     return best.select("source", "target", (-F.col("b.c")).alias("confidence"), F.col("b.fact").alias("fact"))
 

@@ -17,7 +17,7 @@ from siftwell.operators import postings as P
 from siftwell.operators import ranking as R
 from siftwell.operators import units as U
 from siftwell.operators import vectors as V
-from siftwell.session import table
+from siftwell.session import parted, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -435,11 +435,13 @@ def facts_by_status(s, d):
 y AS (SELECT x.* FROM x JOIN customer p ON a = 'o' || p.c_custkey JOIN customer q ON b = 'o' || q.c_custkey WHERE a <> b)
 SELECT a AS source, b AS target, max(c) AS confidence, CAST(arg_min(f, (-c, f)) AS BIGINT) AS fact FROM y GROUP BY a, b""")
 def dependency_edges(s, d):
-    i = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(s, d, "lineitem")
+    rows = lines.count()
+    i = parted(lines, rows, "l_orderkey").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = lambda c: F.concat(F.lit("o"), c)
     imports = i.select(name("o_custkey").alias("source_path"), name("l_suppkey").alias("target_path"), F.round(1 - F.col("l_discount"), 2).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact"))
     files = table(s, d, "customer").select(name("c_custkey").alias("path"), name("c_custkey").alias("id"))
-    return G.dependencies(imports, files)
+    return G.dependencies(imports, files, rows)
 
 
 def versions(s, d) -> tuple[DataFrame, DataFrame]:

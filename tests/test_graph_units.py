@@ -185,3 +185,19 @@ def test_spans_of_a_task_do_not_follow_the_input(spark, monkeypatch):
     covered = {p: {x for q, e in each for x in range(q, e + 1)} for p, each in want.items()}
     gaps = U.span_gaps(owners, spans, ["p"]).collect()
     assert all({x for r in gaps if r.p == p for x in range(r.start, r.end + 1)} == set(range(31)) - covered[p] for p in range(0, 5000, 500))
+
+
+def test_dependencies_of_a_task_do_not_follow_the_input(spark, monkeypatch):
+    from siftwell import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    files = spark.range(200).select(F.concat(F.lit("f"), "id").alias("path"), "id")
+    imports = spark.range(20_000).select(F.concat(F.lit("f"), F.col("id") % 200).alias("source_path"), F.concat(F.lit("f"), F.col("id") % 77).alias("target_path"), (F.col("id") % 3 / 4).alias("confidence"), F.col("id").alias("fact"))
+    want = {}
+    for i in range(20_000):
+        if i % 200 != i % 77:
+            want[i % 200, i % 77] = min(want.get((i % 200, i % 77), (1, 0)), (-(i % 3 / 4), i))
+    for rows in (None, 20_000):
+        found = G.dependencies(imports, files, rows)
+        assert most_rows_of_a_task(found) <= 300
+        assert {(r.source, r.target): (-r.confidence, r.fact) for r in found.collect()} == want
