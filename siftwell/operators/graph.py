@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import uuid5
-from siftwell.session import parted
+from siftwell.session import parted, spread
 
 METHODS = [("same_scope_qualified", 1.0), ("explicitly_imported_symbol", 1.0), ("explicitly_imported_module", 1.0), ("same_module_symbol", 0.95), ("unique_repository_qualified_match", 0.9), ("unique_short_name_match", 0.7)]
 EDGE_WEIGHTS = {"calls": 0.9, "imports": 0.6, "inherits": 0.9, "references": 0.65, "depends_on": 0.55, "tests": 1.0}
@@ -21,11 +21,12 @@ def resolve(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``facts`` with status, method, factor and target: the first priority with a match decides, and is ambiguous if it has several.
 
     facts: id, target_reference, target_kind, hint, hint_method, source_scope, module. nodes: id, kind, name, qualified_name.
-    Each priority is one equality on the qualified or the short name, so all of them are two joins of exploded keys. Only
+    Each priority is one equality on the qualified or the short name, so all of them are one join of exploded keys. Only
     the least and the greatest node of a name and kind can matter, so a key meets one row per kind, however many nodes share its name.
     """
     f = F.col
-    ends = lambda name: nodes.groupBy(name, "kind").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    names = F.explode(F.array(F.struct(F.lit(False).alias("short"), f("qualified_name").alias("key")), F.struct(F.lit(True).alias("short"), f("name").alias("key"))))
+    ends = nodes.select("id", "kind", names.alias("k")).groupBy("k.short", "k.key", "kind").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("source_scope", r"\."))), lambda n: F.concat_ws(".", F.slice(F.split("source_scope", r"\."), 1, n)))
     scoped = F.when(F.coalesce(f("source_scope"), F.lit("")) != "", F.transform(prefixes, lambda p: F.struct((F.lit(2000) - F.length(p)).alias("p"), F.lit("same_scope_qualified").alias("m"), F.concat(p, F.lit("."), f("target_reference")).alias("key")))).otherwise(F.expr("cast(array() as array<struct<p:int,m:string,key:string>>)"))
     fixed = F.array(
@@ -33,10 +34,9 @@ def resolve(facts: DataFrame, nodes: DataFrame) -> DataFrame:
         F.struct(F.lit(3000).alias("p"), F.lit("same_module_symbol").alias("m"), F.concat("module", F.lit("."), "target_reference").alias("key")),
         F.struct(F.lit(3001).alias("p"), F.lit("unique_repository_qualified_match").alias("m"), f("target_reference").alias("key")),
     )
-    keys = facts.select(f("id").alias("fact"), "target_kind", F.explode(F.concat(fixed, scoped)).alias("k")).filter("k.key is not null")
-    by_name = keys.select("fact", "target_kind", f("k.p").alias("p"), f("k.m").alias("m"), f("k.key").alias("qualified_name")).join(ends("qualified_name"), "qualified_name")
-    short = facts.select(f("id").alias("fact"), "target_kind", F.lit(4000).alias("p"), F.lit("unique_short_name_match").alias("m"), F.element_at(F.split("target_reference", r"\."), -1).alias("name")).join(ends("name"), "name")
-    found = by_name.drop("qualified_name").unionByName(short.drop("name")).filter(kind_allowed(f("target_kind"), f("kind")))
+    brief = F.array(F.struct(F.lit(4000).alias("p"), F.lit("unique_short_name_match").alias("m"), F.element_at(F.split("target_reference", r"\."), -1).alias("key")))
+    keys = spread(facts.select("id", "target_reference", "target_kind", "hint", "hint_method", "source_scope", "module")).select(f("id").alias("fact"), "target_kind", F.explode(F.concat(fixed, brief, scoped)).alias("k")).filter("k.key is not null")
+    found = keys.select("fact", "target_kind", f("k.p").alias("p"), f("k.m").alias("m"), (f("k.p") == 4000).alias("short"), f("k.key").alias("key")).join(ends, ["short", "key"]).filter(kind_allowed(f("target_kind"), f("kind")))
     # per priority: how many different nodes, then the first priority; counts combine before the shuffle
     per = found.groupBy("fact", "p", "m").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     first = per.groupBy("fact").agg(F.min(F.struct("p", "m", "low", "high")).alias("b"))
@@ -46,6 +46,18 @@ def resolve(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select(*[facts[c] for c in facts.columns], F.when(f("b").isNull(), "unresolved").when(unique, "resolved").otherwise("ambiguous").alias("status"), F.when(unique, f("b.m")).alias("method"), F.when(unique, factor).alias("factor"), F.when(unique, f("b.low")).alias("target"))
 
 
+def asked(facts: DataFrame) -> DataFrame:
+    """``facts`` with ``n``, the number of them: facts that differ in their id alone are one row, with the least id.
+
+    Facts of one id are resolved together, so those that share theirs keep it; those without one are never resolved.
+    """
+    what = [c for c in facts.columns if c != "id"]
+    rows = facts.withColumn("own", F.when(F.count("*").over(Window.partitionBy("id")) > 1, F.col("id")))
+    rows = rows.groupBy(*what, "own", F.col("id").isNull().alias("none")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    # always true: resolve() reads these rows twice, and as both need n the shuffles are the same and run once
+    return rows.filter("n > 0").select("id", *what, "n")
+
+
 def listed_facts(facts: DataFrame) -> DataFrame:
     return facts.orderBy("source_file", "start_line", "end_line", "kind", "id")
 

@@ -117,8 +117,8 @@ def test_listings(spark):
     assert [r.id for r in G.listed_facts(facts).collect()] == ["4", "0", "2", "1"]
 
 
-def most_rows(df):
-    """The most rows that any step of the plan gave, as it ran."""
+def most_rows(df, metric="numOutputRows", of=""):
+    """The most rows that any step of the plan gave, as it ran; of another metric, or of steps whose kind begins with ``of``."""
     df.collect()
     todo, most = [df._jdf.queryExecution().executedPlan()], 0
     while todo:
@@ -128,8 +128,8 @@ def most_rows(df):
             todo.append(p.executedPlan())
         elif kind.endswith("QueryStageExec"):
             todo.append(p.plan())
-        m = p.metrics().get("numOutputRows")
-        most = max(most, m.get().value() if m.isDefined() else 0)
+        m = p.metrics().get(metric)
+        most = max(most, m.get().value() if m.isDefined() and kind.startswith(of) else 0)
         todo.extend(p.children().apply(i) for i in range(p.children().size()))
     return most
 
@@ -201,3 +201,29 @@ def test_dependencies_of_a_task_do_not_follow_the_input(spark, monkeypatch):
         found = G.dependencies(imports, files, rows)
         assert most_rows_of_a_task(found) <= 300
         assert {(r.source, r.target): (-r.confidence, r.fact) for r in found.collect()} == want
+
+
+def test_facts_by_status_resolves_what_is_asked_once(spark, tmp_path):
+    from siftwell.plans.catalog import QUERIES
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    n = part.count()
+    part.crossJoin(spark.range(40).select(F.col("id").alias("r"))).withColumn("p_partkey", F.col("p_partkey") + F.col("r") * 1_000_000).drop("r").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["facts_by_status"](spark, str(tmp_path))
+    assert 0 < most_rows(df, "shuffleRecordsWritten") <= 40 * n  # one row per fact, not one per key of it
+    assert 0 < most_rows(df, of="BroadcastExchange") <= 4 * n  # names and questions, no facts
+
+
+def test_facts_of_one_id_and_of_none(spark, tmp_path):
+    import duckdb
+
+    from siftwell.plans.catalog import QUERIES, SQL
+
+    duckdb.sql(f"""COPY (WITH p AS (FROM '/root/testdata/sf0.001/part.parquet') FROM p UNION ALL SELECT p_partkey, 'hot bolt', 'Brand#3', 'PROMO', p_size + 1, 1 FROM p WHERE p_partkey % 3 = 0
+    UNION ALL SELECT NULL, p_name, p_brand, p_type, p_size, 1 FROM p WHERE p_partkey % 7 = 0 UNION ALL SELECT 1000 + p_partkey, NULL, p_brand, p_type, NULL, 1 FROM p WHERE p_partkey % 11 = 0
+    UNION ALL SELECT 2000 + p_partkey, p_name, NULL, NULL, p_size, 1 FROM p WHERE p_partkey % 11 = 1 UNION ALL FROM p WHERE p_partkey % 13 = 0) TO '{tmp_path}/part.parquet' (FORMAT parquet)""")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'")
+    for name in ("facts_by_status", "fact_resolution"):
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=key) == sorted(con.execute(SQL[name]).fetchall(), key=key)
